@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from evspark.llm.packing import op4_best_fit_packing
 from evspark.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
 
