@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from evspark.llm.packing import op4_best_fit_packing
 from evspark.llm.token_counts import op10_token_counts
+from evspark.llm.vectors import OP7_SQL, op7_exact_top_k
+from evspark.llm.warc import op1_warc_dictionary
 
 QUERIES = {
+    "op1_warc_dictionary": op1_warc_dictionary,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_exact_top_k": op7_exact_top_k,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_top_k": OP7_SQL,
+}
