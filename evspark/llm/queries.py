@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evspark.llm.decontamination import op3_decontamination
 from evspark.llm.near_duplicates import op2_minhash_near_dedup
 from evspark.llm.packing import op4_best_fit_packing
 from evspark.llm.token_counts import op10_token_counts
@@ -11,6 +12,7 @@ from evspark.llm.warc import op1_warc_dictionary
 QUERIES = {
     "op1_warc_dictionary": op1_warc_dictionary,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_exact_top_k": op7_exact_top_k,
     "op10_token_counts": op10_token_counts,
