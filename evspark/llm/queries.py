@@ -7,6 +7,7 @@ from evspark.llm.near_duplicates import op2_minhash_near_dedup
 from evspark.llm.packing import op4_best_fit_packing
 from evspark.llm.substrings import op8_suffix_array_dedup
 from evspark.llm.token_counts import op10_token_counts
+from evspark.llm.toxicity import op6_toxicity
 from evspark.llm.vectors import OP7_SQL, op7_exact_top_k
 from evspark.llm.warc import op1_warc_dictionary
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op10_token_counts": op10_token_counts,

@@ -14,8 +14,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Bytes between words: white space.
 SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True
@@ -41,30 +41,39 @@ def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
     return _powers[name]
 
 
-def word_hashes(data: np.ndarray, cuts: np.ndarray, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, start, end) of each word of the texts data[cuts[i]:cuts[i+1]], A-Z lower-cased. start and end are places in data.
+def span_hashes(low: np.ndarray):
+    """A function of (starts, ends) that gives the hashes of those ranges of bytes.
 
-    The hash of a word is that of its bytes as digits of a number in a fixed odd base modulo 2^64, mixed: differences of
-    running sums give it for all words at once.
+    A range's hash is that of its bytes as digits of a number in a fixed odd base modulo 2^64, mixed: differences of
+    running sums give it for all ranges at once.
     """
-    n = len(data)
-    low = _LOWER[data]
+    n = len(low)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power(_BASE, "base", n + 1)[:n], out=total[1:])
+    inverse = _power(_INVERSE, "inverse", n + 1)
+    return lambda starts, ends: mix((total[ends] - total[starts]) * inverse[starts])
+
+
+def word_spans(low: np.ndarray, cuts: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of the texts low[cuts[i]:cuts[i+1]]; a word ends with its text."""
+    n = len(low)
     inside = ~between[low]
     edge = np.empty(n, bool)
     edge[:1] = True
     edge[1:] = ~inside[:-1]
-    firsts = cuts[:-1][cuts[:-1] < n]
-    edge[firsts] = True
-    starts = np.flatnonzero(inside & edge)
+    edge[cuts[:-1][cuts[:-1] < n]] = True
     last = np.empty(n, bool)
     last[-1:] = True
     last[:-1] = ~inside[1:]
-    ends_at = cuts[1:][cuts[1:] > 0] - 1
-    last[ends_at] = True
-    ends = np.flatnonzero(inside & last) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power(_BASE, "base", n + 1)[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_INVERSE, "inverse", n + 1)[starts]), np.searchsorted(cuts, starts, "right") - 1, starts, ends
+    last[cuts[1:][cuts[1:] > 0] - 1] = True
+    return np.flatnonzero(inside & edge), np.flatnonzero(inside & last) + 1
+
+
+def word_hashes(data: np.ndarray, cuts: np.ndarray, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, start, end) of each word, A-Z lower-cased. start and end are places in data."""
+    low = LOWER[data]
+    starts, ends = word_spans(low, cuts, between)
+    return span_hashes(low)(starts, ends), np.searchsorted(cuts, starts, "right") - 1, starts, ends
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
