@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from evspark.llm.decontamination import op3_decontamination
+from evspark.llm.language import op5_language_id
 from evspark.llm.near_duplicates import op2_minhash_near_dedup
 from evspark.llm.packing import op4_best_fit_packing
 from evspark.llm.substrings import op8_suffix_array_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
