@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from evspark.llm.decontamination import op3_decontamination
 from evspark.llm.language import op5_language_id
+from evspark.llm.licenses import OP9_SQL, op9_license_scan
 from evspark.llm.near_duplicates import op2_minhash_near_dedup
 from evspark.llm.packing import op4_best_fit_packing
 from evspark.llm.substrings import op8_suffix_array_dedup
@@ -21,9 +22,11 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": OP7_SQL,
+    "op9_license_scan": OP9_SQL,
 }
