@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from evspark.plans import text_queries
+
+_MODULES = (text_queries,)
+
+QUERIES: dict = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
