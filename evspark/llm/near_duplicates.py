@@ -1,8 +1,10 @@
 """Near-duplicate documents: MinHash bands find candidates, odd sketches sift them, full shingle sets confirm them.
 
-The minima of `bands * rows` hash functions over a document's shingles give band keys and, folded into a bitmap where
-each sample flips one bit, an odd sketch: the number of bits in which two sketches differ estimates how many samples
-differ (Mitzenmacher, Pagh and Pham, 2014), most precisely at high similarity. 
+The minima of `bands * rows` hash functions over a document's shingles give band keys. An odd sketch folds hash samples of
+the set into a bitmap where each sample flips one bit, so the bits in which two sketches differ count the samples that
+differ, less those that met in a bit (Mitzenmacher, Pagh and Pham, 2014). The samples are the shingles whose hash is
+least, below a power of two that leaves SAMPLES of them at most: all shingles of most documents. Then no link can be
+lost to the sketch, as its bits never differ by more than the sets; with fewer samples, a margin of 5.5 deviations holds.
 
 Only the structure that all links make is needed, so no bucket is expanded into its pairs. First every document of a
 bucket is held against the bucket's smallest; then, in buckets that still hold more than one component, against a
@@ -28,7 +30,8 @@ from evspark.llm.common import table, written
 from evspark.llm.components import components
 from evspark.llm.shingles import blocks, mix, shingle_hashes, word_hashes
 
-BANDS, ROWS, SKETCH_BITS = 32, 4, 1024
+BANDS, ROWS, SKETCH_BITS, SAMPLES = 32, 4, 2048, 1024
+WORDS = SKETCH_BITS // 64
 
 
 def seeds(n: int) -> np.ndarray:
@@ -44,10 +47,16 @@ def minima(shingles: np.ndarray, multipliers: np.ndarray, shifts: np.ndarray) ->
     return least
 
 
-def odd_sketch(least: np.ndarray, bits: int) -> np.ndarray:
-    """A bitmap, as 64-bit words, in which each sample (function, minimum) flips one bit."""
-    place = mix((np.arange(len(least), dtype=np.uint64) << np.uint64(32)) | least.astype(np.uint64)) % np.uint64(bits)
-    parity = np.bincount(place.astype(np.int64), minlength=bits) & 1
+def level_of(n: int) -> int:
+    """How often a set of n shingles is halved before it is sketched."""
+    return max(0, math.ceil(math.log2(n / SAMPLES))) if n else 0
+
+
+def odd_sketch(shingles: np.ndarray, level: int) -> np.ndarray:
+    """A bitmap, as 64-bit words, in which each sample flips one bit."""
+    x = mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
+    x = x[x >> np.uint64(64 - level) == 0] if level else x
+    parity = np.bincount((x & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -58,14 +67,6 @@ def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def most_differing_bits(similarity: float, samples: int, bits: int, deviations: float = 5.5) -> int:
-    """Differing sketch bits that a pair of at least this similarity exceeds by a chance of `deviations` only."""
-    differ = samples * (1 - similarity)
-    flips = 2 * (differ + deviations * math.sqrt(differ * similarity) + 1)
-    mean = bits / 2 * (1 - (1 - 2 / bits) ** flips)
-    return math.ceil(mean + deviations * math.sqrt(mean) / 2)
-
-
 def signatures(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
     """key, class (equal for equal texts), n_shingles, bands and sketch of each row."""
     n = BANDS * ROWS
@@ -81,27 +82,38 @@ def signatures(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                     found = shingle_hashes(words[a:b], width)
                     least = minima(found, multipliers, shifts)
-                    sizes.append(len(np.unique(found)))
+                    found = np.unique(found)
+                    sizes.append(len(found))
                     bands.append(band_keys(least, BANDS, ROWS))
-                    sketches.append(odd_sketch(least, SKETCH_BITS))
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * w), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x, w in ((bands, BANDS), (sketches, SKETCH_BITS // 64))]
+                    sketches += [odd_sketch(found, level_of(len(found))), odd_sketch(found, level_of(len(found)) + 1)]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * w), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x, w in ((bands, BANDS), ([np.concatenate(sketches[i : i + 2]) for i in range(0, len(sketches), 2)], 2 * WORDS))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *lists], ["id", "class", "n_shingles", "bands", "sketch"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("class"), F.col(text).alias("text"))
     return rows.mapInArrow(sign, "id long, class binary, n_shingles long, bands array<long>, sketch array<long>")
 
 
-def differing_bits(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def level(n: str) -> Column:
+    return F.greatest(F.lit(0.0), F.ceil(F.log2(F.col(n) / SAMPLES)).cast("double")).cast("int")
+
+
+def may_link(a: str, na: str, b: str, nb: str, percent: int) -> Column:
+    """Whether two sets of na and nb shingles, with sketches a and b (at their own level, then at the next), can be similar
+    enough. Sketches are compared at the higher of their levels; levels differ by one at most where sizes allow a link."""
+    la, lb = level(na), level(nb)
+    bits = [F.bit_count(F.get(a, F.when(la < lb, WORDS).otherwise(0) + i).bitwiseXOR(F.get(b, F.when(lb < la, WORDS).otherwise(0) + i))) for i in range(WORDS)]
+    sized = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    differ = (F.col(na) + F.col(nb)) * (100 - percent) / (100 + percent)
+    sampled = differ / F.pow(F.lit(2.0), F.greatest(la, lb))
+    most = F.when(F.greatest(la, lb) == 0, differ + 1e-6).otherwise(sampled + 5.5 * F.sqrt(sampled) + 1)
+    return sized & (sum(bits[1:], bits[0]) <= most)
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sketches are close and whose full sets are similar enough."""
-    most = most_differing_bits(percent / 100, BANDS * ROWS, SKETCH_BITS)
     sketch = nodes.select("node", "sketch", "n_shingles")
     near = pairs.join(sketch.toDF("a", "sa", "na"), "a").join(sketch.toDF("b", "sb", "nb"), "b")
-    sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    near = near.filter(sized & (differing_bits(F.col("sa"), F.col("sb")) <= most)).select("a", "b").distinct()
+    near = near.filter(may_link("sa", "na", "sb", "nb", percent)).select("a", "b").distinct()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -189,11 +201,10 @@ def by_band_pivot(mixed: DataFrame) -> DataFrame:
 def across(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs of a mixed bucket that lie in different components and whose sketches are close. Each has a row outside the
     main component, so those alone are joined with the bucket; the sketches decide within the join."""
-    most = most_differing_bits(percent / 100, BANDS * ROWS, SKETCH_BITS)
-    rows = mixed.join(nodes.select("node", "sketch"), "node")
-    a = rows.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    b = rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
-    same = (a["key"] == b["key"]) & (F.col("ca") != F.col("cb")) & (differing_bits(F.col("sa"), F.col("sb")) <= most)
+    rows = mixed.join(nodes.select("node", "n_shingles", "sketch"), "node")
+    a = rows.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
+    b = rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    same = (a["key"] == b["key"]) & (F.col("ca") != F.col("cb")) & may_link("sa", "na", "sb", "nb", percent)
     return a.join(b, same).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
