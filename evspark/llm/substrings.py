@@ -40,9 +40,9 @@ from evspark.llm.shingles import _BASE, _INVERSE, _power, mix, texts_of
 #: Bytes of the string whose hash triggers.
 SEED = 16
 #: Text bytes of a chunk, and of a part of the dictionary, about.
-CHUNK_BYTES, PART_BYTES = 16 << 20, 8 << 20
+CHUNK_BYTES, PART_BYTES = 5 << 20, 8 << 20
 #: Text bytes that are hashed at a time.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Phrases whose suffixes are sorted at a time, about.
 SORTED = 40_000
 
