@@ -29,6 +29,11 @@ INSTRUCTION = (
 )
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once for each row, though f uses it within other functions' arguments."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def cut_end(word: Column, n: int) -> Column:
     return F.substring(word, F.lit(1), F.length(word) - n)
 
@@ -84,15 +89,22 @@ def ngrams(items: Column, n: int) -> Column:
     """All runs of n items; none if there are fewer."""
     if n <= 0:
         raise ValueError("n must be positive")
-    starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(items, i, n))
+
+    def of(own: Column) -> Column:
+        starts = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(own, i, n))
+
+    return let(items, of)
 
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Distinct n-grams of the text in lower case with single spaces; the whole text if it is shorter, none if it is empty."""
-    plain = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain) - n + 1, F.lit(1))), lambda i: F.substring(plain, i, F.lit(n)))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    def of(plain: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain) - n + 1, F.lit(1))), lambda i: F.substring(plain, i, F.lit(n)))
+        return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    return let(F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))), of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -113,5 +125,9 @@ def edit_distance_ratio(a: Column, b: Column) -> Column:
 
 def kgram_hashes(tokens: Column, k: int) -> Column:
     """Hashes of runs of k tokens; of all tokens if there are fewer, none if there are none."""
-    joined = F.transform(ngrams(tokens, k), lambda g: F.md5(F.array_join(g, "\x1f")))
-    return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).when(F.size(tokens) < k, F.array(F.md5(F.array_join(tokens, "\x1f")))).otherwise(joined)
+
+    def of(own: Column) -> Column:
+        joined = F.transform(ngrams(own, k), lambda g: F.md5(F.array_join(g, "\x1f")))
+        return F.when(F.size(own) == 0, F.array().cast("array<string>")).when(F.size(own) < k, F.array(F.md5(F.array_join(own, "\x1f")))).otherwise(joined)
+
+    return let(tokens, of)
