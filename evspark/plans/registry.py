@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evspark.plans import statistics_queries, text_queries
+from evspark.plans import model_queries, statistics_queries, table_queries, text_queries
 
-_MODULES = (text_queries, statistics_queries)
+_MODULES = (text_queries, statistics_queries, model_queries, table_queries)
 
 QUERIES: dict = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
