@@ -21,9 +21,10 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model of their labels doesn't reject."""
-    scored = severity(docs, learned(docs, table(spark, sf_dir, "labels")), docs.columns)
-    return scored.filter(~F.col("toxic")).select(*docs.columns)
+    """Documents that the model of their labels doesn't reject. Rows travel as one column, so their names can't clash."""
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    scored = severity(rows, learned(docs, table(spark, sf_dir, "labels")), ["_row"])
+    return scored.filter(~F.col("toxic")).select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,17 +36,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes that repeat strings of 50 bytes of documents with smaller doc_id."""
-    others = [c for c in docs.columns if c != "text"]
-    left = without_repeats(docs, keep=others).withColumn("text", F.col("kept_text"))
-    if "n_chars" in others:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("_row"))
+    left = without_repeats(rows, keep=["_row"])
+    made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
+    return left.select(*(made.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    judged = contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    judged = contamination(rows, table(spark, sf_dir, "benchmark"), keep=["_row"])
+    return judged.filter(~F.col("contaminated")).select("_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
