@@ -155,7 +155,8 @@ def graded_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, grade
     counts = known.agg(F.count(F.when(F.col("_grade") > 0, 1)).alias("bad"), F.count(F.when(F.col("_grade") <= 0, 1)).alias("good")).first()
     share = lambda n: min(1.0, sample / max(n, 1))
     picked = F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.when(F.col("_grade") > 0, share(counts.bad) * 1e6).otherwise(share(counts.good) * 1e6)
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(known.filter(picked), "_id").filter("_text IS NOT NULL").select("_id", "_text", "_grade").collect()
+    # about 2 * sample labels are picked, so they are broadcast and no text is shuffled
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).filter("_text IS NOT NULL").join(F.broadcast(known.filter(picked)), "_id").select("_id", "_text", "_grade").collect()
     rows.sort(key=lambda r: (r._id, r._grade, r._text))
     grades = np.array([max(r._grade, 0) for r in rows], np.int64)
     return [r._text for r in rows], grades, max(1.0, share(counts.bad) / share(counts.good))
