@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         component = F.coalesce("component", "node")
     else:
         component = F.col("node")
+    component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(component)
     return rows.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
