@@ -33,3 +33,21 @@ def dempster(masses: DataFrame, group: str, source: str, hypothesis: str) -> Dat
 def combined(scores: DataFrame, keys: list[str], score: Column) -> DataFrame:
     """The largest, mean and noisy-or of the scores of each key."""
     return scores.groupBy(*keys).agg(F.max(score).alias("largest"), F.avg(score).alias("mean"), (1 - F.product(1 - score)).alias("noisy_or"))
+
+
+def max_conflict(masses: DataFrame, group: str, source: str, hypothesis: str, hypotheses: list) -> DataFrame:
+    """group, conflict: the largest conflict met when a group's sources are combined one by one, in their order."""
+    each = [F.coalesce(F.sum(F.when(F.col(hypothesis) == h, F.col("mass"))), F.lit(0.0)) for h in hypotheses]
+    rows = masses.groupBy(group, source).agg(F.array(*each).alias("m"), F.max("theta").alias("t"))
+    ordered = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(source, "m", "t"))).alias("s"))
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+    def combine(left: Column, right: Column) -> Column:
+        k = total(left["m"]) * total(right["m"]) - total(F.zip_with(left["m"], right["m"], lambda a, b: a * b))
+        m = F.zip_with(left["m"], right["m"], lambda a, b: (a * b + a * right["t"] + left["t"] * b) / (1 - k))
+        return F.struct(m.alias("m"), (left["t"] * right["t"] / (1 - k)).alias("t"), F.greatest(left["k"], k).alias("k"))
+
+    ignorance = F.struct(F.array(*[F.lit(0.0)] * len(hypotheses)).alias("m"), F.lit(1.0).alias("t"), F.lit(0.0).alias("k"))
+    return ordered.select(group, F.aggregate("s", ignorance, combine, lambda x: x["k"]).alias("conflict"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -137,6 +138,12 @@ def lower_quantiles(rows: DataFrame, value: str, by: str, quantiles: tuple[float
     return asked.filter((index < F.col("to")) & (index >= F.col("to") - F.col("k"))).select(by, "q", F.col(value).alias("value"))
 
 
+def required_n(d: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+    """Cases in each of two groups that find an effect of d with the given power, by the normal approximation with its small-sample term."""
+    a, b = NormalDist().inv_cdf(1 - alpha / 2), NormalDist().inv_cdf(power)
+    return F.ceil(2 * F.pow((a + b) / F.abs(d), 2) + a * a / 4)
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function, by the modified Lentz method."""
     tiny, c = 1e-300, 1.0

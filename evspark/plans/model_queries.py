@@ -50,6 +50,16 @@ def ds_belief(spark, d):
     return E.dempster(_masses(spark, d), "user_id", "event_type", "h").withColumns({"belief": F.round("belief", 6), "theta": F.round("theta", 6)})
 
 
+CONFLICT = f"""{MASSES}, o AS (SELECT g, src, list_transform(range(4), lambda j: coalesce(list_sum(list_filter(list_transform(l, lambda x: CASE WHEN x.h = j THEN x.mass END), lambda v: v IS NOT NULL)), 0)::DOUBLE) AS m, theta AS t, row_number() OVER (PARTITION BY g ORDER BY src) AS i FROM (SELECT g, src, list({{'h': h, 'mass': mass}}) AS l, max(theta) AS theta FROM t GROUP BY g, src)),
+w(g, i, m, t, k) AS (SELECT DISTINCT g, CAST(0 AS BIGINT), [0.0::DOUBLE, 0, 0, 0], 1.0::DOUBLE, 0.0::DOUBLE FROM o UNION ALL SELECT g, i + 1, list_transform(range(1, 5), lambda j: (m[j] * m2[j] + m[j] * t2 + t * m2[j]) / (1 - c)), t * t2 / (1 - c), greatest(k, c) FROM (SELECT w.g, w.i, w.m, w.t, w.k, o.m AS m2, o.t AS t2, list_sum(w.m) * list_sum(o.m) - list_inner_product(w.m, o.m) AS c FROM w JOIN o ON o.g = w.g AND o.i = w.i + 1))
+SELECT g AS user_id, round(max(k), 6) AS conflict FROM w GROUP BY g"""
+
+
+@query("ds_max_conflict", f"WITH RECURSIVE {CONFLICT}")
+def ds_max_conflict(spark, d):
+    return E.max_conflict(_masses(spark, d), "user_id", "event_type", "h", [0, 1, 2, 3]).withColumn("conflict", F.round("conflict", 6))
+
+
 @query("fusion_ablation", "SELECT user_id, max(value / 500) AS largest, round(avg(value / 500), 6) AS mean, round(1 - product(1 - value / 500), 6) AS noisy_or FROM events GROUP BY 1")
 def fusion_ablation(spark, d):
     out = E.combined(table(spark, d, "events"), ["user_id"], F.col("value") / 500)
@@ -87,6 +97,12 @@ def deficiency_frontier(spark, d):
     return G.frontier(table(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") / 50).alias("p")), _edges(spark, d))
 
 
+@query("mastery_regularise", f"WITH RECURSIVE {EDGES}, w(src, dst, depth) AS (SELECT child, parent, 1 FROM e UNION SELECT w.src, e.parent, w.depth + 1 FROM w JOIN e ON w.dst = e.child), n AS (SELECT p_partkey AS node, p_size / 50.0::DOUBLE AS p FROM part) SELECT node, round(min(p), 6) AS p FROM (SELECT node, p FROM n UNION ALL SELECT src, 1 - power(0.55::DOUBLE, depth) * (1 - n.p) FROM w JOIN n ON n.node = w.dst) GROUP BY node")
+def mastery_regularise(spark, d):
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") / 50).alias("p"))
+    return G.regularised(nodes, _edges(spark, d)).withColumn("p", F.round("p", 6))
+
+
 TRACE = """o AS (SELECT user_id, event_type = 'purchase' AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type IN ('purchase', 'error')),
 w(user_id, i, p) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), 0.30::DOUBLE FROM o UNION ALL SELECT w.user_id, w.i + 1, greatest(0.001::DOUBLE, least(0.999::DOUBLE, CASE WHEN c THEN p * 0.9 / (p * 0.9 + (1 - p) * 0.2) + (1 - p * 0.9 / (p * 0.9 + (1 - p) * 0.2)) * 0.2 ELSE p * 0.1 / (p * 0.1 + (1 - p) * 0.8) END)) FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)
 SELECT user_id, round(arg_max(p, i), 6) AS mastery, max(i) AS n FROM w GROUP BY user_id"""

@@ -43,6 +43,11 @@ def pooled_t_hedges(spark, d):
     return rounded(S.pooled_t(_ab(spark, d)).select("l_returnflag", "t", "df", "d", "g"), "t", "d", "g")
 
 
+@query("required_n", f"WITH {M} SELECT l_returnflag, CAST(ceil(2 * power((1.959963984540054::DOUBLE + 0.8416212335729143::DOUBLE) / (abs(ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))), 2) + power(1.959963984540054::DOUBLE, 2) / 4) AS BIGINT) AS n FROM m WHERE na > 1 AND nb > 1")
+def required_n(spark, d):
+    return S.pooled_t(_ab(spark, d).filter("na > 1 AND nb > 1")).select("l_returnflag", S.required_n(F.col("d")).alias("n"))
+
+
 PAIRS = "(SELECT l_orderkey, l_extendedprice * l_discount AS x, l_extendedprice * l_tax AS y FROM lineitem)"
 
 
