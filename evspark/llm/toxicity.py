@@ -25,6 +25,8 @@ from evspark.llm.shingles import LOWER, PUNCTUATION, blocks, span_hashes, word_s
 SAMPLE = 3000
 #: Features of a model.
 FEATURES = 2048
+#: Buckets that features are counted in before the best are counted themselves.
+BUCKETS = 1 << 20
 #: Deviations by which a feature's share in toxic texts must differ.
 LEAST_DEVIATIONS = 4.0
 #: First bytes of a word that are features beside the word.
@@ -76,23 +78,44 @@ class Severity:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def select(texts: pa.Array, grades: np.ndarray, most: int) -> np.ndarray:
-    """The features whose share of texts above grade 0 differs most, in deviations, from that of texts of grade 0."""
-    every, bad = [], []
-    for first, found, text, words in features_of(texts):
+def texts_with(texts: pa.Array, grades: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct features of each text, and whether the text is above grade 0, for runs of texts."""
+    for first, found, text, _ in features_of(texts):
         order = np.lexsort((found, text))
         found, text = found[order], text[order]
         new = np.append(True, (found[1:] != found[:-1]) | (text[1:] != text[:-1])) if len(found) else np.zeros(0, bool)
-        every.append(found[new])
-        bad.append(grades[first + text[new]] > 0)
+        yield found[new], grades[first + text[new]] > 0
+
+
+def select(texts: pa.Array, grades: np.ndarray, most: int) -> np.ndarray:
+    """The features whose share of texts above grade 0 differs most, in deviations, from that of texts of grade 0.
+
+    Features are counted by hash bucket first; only those of the best buckets are then counted themselves.
+    """
+    n1, n0 = (grades > 0).sum(), (grades == 0).sum()
+
+    def deviations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        share = (a + b) / (n1 + n0)
+        return np.abs(a / n1 - b / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+
+    a, b = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for found, toxic in texts_with(texts, grades):
+        bucket = (found >> np.uint64(40)) % np.uint64(BUCKETS)
+        np.add.at(a, bucket[toxic], 1)
+        np.add.at(b, bucket[~toxic], 1)
+    wanted = np.zeros(BUCKETS, bool)
+    z = deviations(a, b)
+    wanted[np.argpartition(-z, min(4 * most, BUCKETS - 1))[: 4 * most]] = True
+    every, bad = [], []
+    for found, toxic in texts_with(texts, grades):
+        own = wanted[(found >> np.uint64(40)) % np.uint64(BUCKETS)]
+        every.append(found[own])
+        bad.append(toxic[own])
     names, k = np.unique(np.concatenate(every), return_inverse=True)
     toxic = np.concatenate(bad)
-    n1, n0 = (grades > 0).sum(), (grades == 0).sum()
-    a, b = np.bincount(k[toxic], minlength=len(names)), np.bincount(k[~toxic], minlength=len(names))
-    share = (a + b) / (n1 + n0)
-    z = (a / n1 - b / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    best = np.argsort(-np.abs(z), kind="stable")[:most]
-    return np.sort(names[best[np.abs(z[best]) >= LEAST_DEVIATIONS]])
+    z = deviations(np.bincount(k[toxic], minlength=len(names)), np.bincount(k[~toxic], minlength=len(names)))
+    best = np.argsort(-z, kind="stable")[:most]
+    return np.sort(names[best[z[best] >= LEAST_DEVIATIONS]])
 
 
 def fit(texts: list[str], grades: np.ndarray, clean_weight: float = 1.0, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Severity:
