@@ -121,8 +121,11 @@ def with_roles(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes every row of pages to archives below folder; a table of their file, records and raw_bytes."""
-    sample = pages.filter(F.length(payload) > 0).select(F.encode(F.substring(payload, 1, SAMPLE_BYTES // 4), "UTF-8").alias("p"), F.xxhash64(key, url).alias("h"))
-    dictionary = train([bytes(r.p) for r in sample.orderBy("h", "p").limit(SAMPLES).collect()])
+    some = pages.filter(F.length(payload) > 0)
+    share = SAMPLES / max(some.count(), SAMPLES)  # about SAMPLES rows reach the driver, however many tasks there are
+    picked = some.filter(F.pmod(F.xxhash64(key, url), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = picked.select(F.encode(F.substring(payload, 1, SAMPLE_BYTES // 4), "UTF-8").alias("p"))
+    dictionary = train(sorted(bytes(r.p) for r in sample.collect()))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done = None, []
