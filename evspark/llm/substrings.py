@@ -5,19 +5,21 @@ judged on the input, and never cross documents.
 
 The text is parsed at triggers that a rolling hash sets: the hash of a SEED-byte string triggers where it is the smallest
 of a run of least - SEED + 1 starts, so every string of `least` bytes holds a trigger that depends on its bytes alone, and
-equal strings are parsed at the same place. A phrase is a trigger with the bytes around it that such strings can reach. The
-dictionary is the set of distinct phrases, each with the smallest document that has it; the parse is the list of the
-documents' phrases.
+equal strings are parsed at the same place. A phrase is a trigger with the bytes around it that such strings can reach.
 
-Of an occurrence in a document other than the phrase's smallest, every byte goes: the parse settles it. What is left is
-one document for each phrase of the dictionary. Where phrases share their trigger and enough of its surroundings, their
-suffixes are sorted: those with equal first `least` bytes form a run of the dictionary's suffix array, and the run's
-smallest document decides for the others. Together that gives the order of all suffixes of the corpus as far as `least`
-bytes, though no task ever holds more than a share of the dictionary.
+Three rounds follow, each of which asks which keys of a chunk's texts other chunks have too. Keys are dealt by their own
+hash, a chunk sends each key once, and the answer is a bit for each key sent, so no group grows with a trigger, a phrase
+or a string that very many documents hold: it has at most one row for each chunk.
 
-Chunks of the input are copied to the shared folder once, so the texts themselves are never shuffled: only phrase hashes,
-asked-for phrases and spans are. Within a chunk, occurrences are combined before they are sent, so a passage that very
-many documents hold sends at most one document's phrases for each chunk.
+1. Phrases, with the chunk's smallest document: of an occurrence in a later document than the phrase's smallest, every
+   byte goes.
+2. Halves of what is left: a string of `least` bytes holds its trigger's right or left half, so phrases go on only where
+   one of their halves lies in another document's phrase.
+3. Strings of `least` bytes of those phrases, each at the first of its smallest triggers, with the chunk's smallest
+   document: a string that starts in a later document goes.
+
+Chunks of the input are copied to the shared folder once and parsed anew in each round, so that neither texts nor places
+are ever shuffled: only hashes, and answers to them.
 
 Null and empty texts have nothing to remove. Rows without id come after all others and don't count as smaller than each
 other; rows that repeat an id don't remove each other's bytes. Texts of any length are parsed whole.
@@ -43,12 +45,10 @@ SEED = 16
 CHUNK_BYTES, PART_BYTES = 5 << 20, 8 << 20
 #: Text bytes that are hashed at a time.
 BLOCK = 1 << 18
-#: Phrases whose suffixes are sorted at a time, about.
-SORTED = 40_000
 
 _LAST = np.iinfo(np.int64).max
-VERDICTS = "chunk long, kind int, data binary"
 ROUTED = "part long, chunk long, data binary"
+ANSWERS = "chunk long, kind int, part long, data binary"
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -114,7 +114,8 @@ class Parse:
         n, run = len(data), least - SEED
         self.text = self.place = np.zeros(0, np.int64)
         self.trigger = self.phrase = np.zeros(0, np.uint64)
-        self.sides = np.zeros(0, np.uint16)
+        self.right = self.left = np.zeros(0, np.uint64)
+        self.least, self.owner = least, np.zeros(0, np.int64)
         if n < least:
             return
         total = np.zeros(n + 1, np.uint64)
@@ -143,10 +144,23 @@ class Parse:
         self.phrase = mix(of(a, b) + (place - a).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         half = SEED + (run + 1) // 2
         right, left = np.minimum(place + half, high), np.maximum(place + SEED - half, low)
-        r = np.where(place + half <= high, mix(of(place, right)) >> np.uint64(57) | np.uint64(128), 0).astype(np.uint16)
-        el = np.where(place + SEED - half >= low, mix(of(left, place + SEED)) >> np.uint64(57) | np.uint64(128), 0).astype(np.uint16)
-        self.sides = r << np.uint16(8) | el  # two short hashes of the trigger with half of its surroundings; 0: there is no room
+        # hashes of the trigger with half of its surroundings; 0: there is no room
+        self.right = np.where(place + half <= high, mix(of(place, right)) | np.uint64(1), np.uint64(0))
+        self.left = np.where(place + SEED - half >= low, ~mix(of(left, place + SEED)) | np.uint64(1), np.uint64(0))
         self.place = place - low
+        self.of, self.cuts, self.at, self.rank, self.valid = of, cuts, place, rank, least_of > 0
+
+    def strings(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(trigger, hash, text, place) of the strings whose first smallest trigger is asked for."""
+        if not asked.any():
+            return self.trigger[:0], self.phrase[:0], self.text[:0], self.place[:0]
+        keyed = self.rank.astype(np.uint64) << np.uint64(32) | np.arange(len(self.rank), dtype=np.uint64)
+        owner = (sliding(keyed, self.least - SEED + 1, np.minimum) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        number = np.full(len(self.rank), -1)
+        number[self.at[asked]] = np.flatnonzero(asked)
+        start = np.flatnonzero(self.valid & (number[owner] >= 0))
+        k = number[owner[start]]
+        return self.trigger[k], mix(self.of(start, start + self.least)), self.text[k], start - self.cuts[self.text[k]]
 
 
 def copied(docs: DataFrame, folder: str, text: str) -> DataFrame:
@@ -172,52 +186,6 @@ def copied(docs: DataFrame, folder: str, text: str) -> DataFrame:
     return written(docs.mapInArrow(copy, "chunk long"), "chunks")
 
 
-def parse_chunks(chunks: DataFrame, folder: str, parts: int, least: int, key: str, text: str) -> DataFrame:
-    """Phrases of each chunk by part of the dictionary; occurrences that the chunk itself settles by part + parts."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = Chunks(folder)
-        for batch in batches:
-            for chunk in batch.column(0).to_pylist():
-                rows = files.read(chunk)
-                data, cuts = texts_of(column(rows, text))
-                order = order_of(column(rows, key))
-                found, at = [], 0
-                while at < len(order):
-                    to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + BLOCK, "right")) - 1)
-                    p = Parse(data[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at], least)
-                    found.append((p.trigger, p.phrase, p.sides, (p.text + at).astype(np.uint32), p.place.astype(np.uint32)))
-                    at = to
-                if not found:
-                    continue
-                trigger, phrase, sides, row, place = (np.concatenate(x) for x in zip(*found))
-                doc = order[row]
-                settled = later_copies(trigger, phrase, doc)
-                if settled.any():
-                    yield routed([parts + chunk % parts], chunk, [pack(deltas(row[settled]), place[settled])])
-                own = np.flatnonzero(~settled)
-                part = (trigger[own] % np.uint64(parts)).astype(np.int64)
-                own = own[np.argsort(part, kind="stable")]
-                at_ = np.searchsorted(np.sort(part), np.arange(parts + 1))
-                out = []
-                for a, b in zip(at_[:-1].tolist(), at_[1:].tolist()):
-                    k = own[a:b]
-                    out.append(pack((trigger[k] >> np.uint64(32)).astype(np.uint32), phrase[k], sides[k], deltas(doc[k]), deltas(row[k]), place[k]) if b > a else None)
-                some = [i for i, x in enumerate(out) if x is not None]
-                for a in range(0, len(some), 64):
-                    yield routed(some[a : a + 64], chunk, [out[i] for i in some[a : a + 64]])
-
-    return chunks.mapInArrow(parse, ROUTED)
-
-
-def routed(part: list[int], chunk: int, data: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([chunk] * len(part), pa.int64()), pa.array(data, pa.binary())], ["part", "chunk", "data"])
-
-
-def verdicts(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["chunk", "kind", "data"])
-
-
 def runs(*sorted_keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin."""
     new = np.ones(len(sorted_keys[0]), bool)
@@ -230,127 +198,169 @@ def spread(first: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(first, n)))
 
 
-def later_copies(trigger: np.ndarray, phrase: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which occurrences lie in a document after the first that has the phrase."""
-    order = np.lexsort((doc, phrase, trigger))
-    first = runs(trigger[order], phrase[order])
-    out = np.zeros(len(doc), bool)
-    out[order] = doc[order] > spread(first, doc[order][first], len(doc))
+def dealt(key: np.ndarray, trigger: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of keys by their own hash; the trigger, which equal keys share, adds bits to the key."""
+    return (mix(key ^ mix(trigger)) % np.uint64(parts)).astype(np.int64)
+
+
+class Keys:
+    """The distinct keys of a chunk by part and smallest document, and which of them each occurrence has."""
+
+    def __init__(self, part: np.ndarray, key: np.ndarray, doc: np.ndarray):
+        order = np.lexsort((doc, key, part))
+        first = runs(part[order], key[order])
+        found = order[first]
+        by = np.lexsort((key[found], doc[found], part[found]))
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.part, self.key, self.doc = part[found][by], key[found][by], doc[found][by]
+        self.of = np.empty(len(doc), np.int64)
+        self.of[order] = spread(first, place, len(doc))
+        #: occurrences in a later document of the chunk than the key's smallest
+        self.later = doc > self.doc[self.of]
+        begin = runs(self.part)
+        self.cuts = list(zip(begin.tolist(), np.append(begin[1:], len(by)).astype(np.int64).tolist()))
+
+    def sent(self, chunk: int, with_doc: bool) -> list[tuple[int, int, bytes]]:
+        return [(int(self.part[a]), chunk, pack(self.key[a:b], deltas(self.doc[a:b])) if with_doc else pack(self.key[a:b])) for a, b in self.cuts]
+
+    def answered(self, answers: dict[int, bytes]) -> np.ndarray:
+        """The answer for each occurrence."""
+        out = np.zeros(len(self.key), bool)
+        for a, b in self.cuts:
+            data = answers.get(int(self.part[a]))
+            if data is not None:
+                out[a:b] = np.unpackbits(np.frombuffer(data, np.uint8), count=b - a).astype(bool)
+        return out[self.of]
+
+
+class Chunk:
+    """The parse of a chunk and, as far as answers are there, what follows from them."""
+
+    def __init__(self, folder: str, chunk: int, parts: int, least: int, key: str, text: str):
+        self.chunk, self.parts, self.least = chunk, parts, least
+        self.rows = Chunks(folder).read(chunk)
+        self.data, self.cuts = texts_of(column(self.rows, text))
+        self.order = order_of(column(self.rows, key))
+        self.blocks, at = [], 0
+        while at < len(self.order):
+            to = max(at + 1, int(np.searchsorted(self.cuts, self.cuts[at] + BLOCK, "right")) - 1)
+            self.blocks.append((at, to))
+            at = to
+        found = []
+        for at, to in self.blocks:
+            p = self.parse(at, to)
+            found.append((p.trigger, p.phrase, p.right, p.left, p.text + at, p.place))
+        self.n = [len(x[0]) for x in found]
+        self.trigger, self.phrase, self.right, self.left, self.row, self.place = (np.concatenate(x) for x in zip(*found))
+        self.doc = self.order[self.row]
+        self.phrases = Keys(dealt(self.phrase, self.trigger, parts), self.phrase, self.doc)
+
+    def parse(self, at: int, to: int) -> Parse:
+        return Parse(self.data[self.cuts[at] : self.cuts[to]], self.cuts[at : to + 1] - self.cuts[at], self.least)
+
+    def copies(self, answers: dict[int, dict[int, bytes]]) -> np.ndarray:
+        """Which phrases lie in a later document than their smallest."""
+        return self.phrases.later | self.phrases.answered(answers.get(PHRASES, {}))
+
+    def halves(self, copies: np.ndarray) -> tuple[np.ndarray, Keys]:
+        own = np.flatnonzero(~copies)
+        side = np.concatenate([self.right[own], self.left[own]])
+        some = np.flatnonzero(side)
+        at, side = np.concatenate([own, own])[some], side[some]
+        return at, Keys((mix(side) % np.uint64(self.parts)).astype(np.int64), (side >> np.uint64(32)).astype(np.uint32), self.doc[at])
+
+    def asked(self, copies: np.ndarray, answers: dict[int, dict[int, bytes]]) -> np.ndarray:
+        """Which phrases may share a string with another document's: they share a half."""
+        at, halves = self.halves(copies)
+        several = np.zeros(len(halves.key), bool)
+        several[halves.of[halves.later]] = True
+        out = np.zeros(len(self.doc), bool)
+        out[at[several[halves.of] | halves.answered(answers.get(HALVES, {}))]] = True
+        return out
+
+    def strings(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, Keys]:
+        """(row, place) of the asked phrases' strings, and their keys."""
+        found, n = [], 0
+        for (at, to), k in zip(self.blocks, self.n):
+            if asked[n : n + k].any():
+                trigger, key, of, place = self.parse(at, to).strings(asked[n : n + k])
+                found.append((trigger, key, of + at, place))
+            n += k
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        trigger, key, row, place = (np.concatenate(x) for x in zip(none, *found))
+        return row, place, Keys(dealt(key, trigger, 2 * self.parts), key, self.order[row])
+
+
+#: What an answer is about.
+PHRASES, HALVES, STRINGS, EVERY = 0, 1, 2, 9
+
+
+def answers_of(rows: pa.Table) -> dict[int, dict[int, bytes]]:
+    out: dict[int, dict[int, bytes]] = {}
+    for kind, part, data in zip(rows.column("kind").to_pylist(), rows.column("part").to_pylist(), rows.column("data").to_pylist()):
+        out.setdefault(kind, {})[part] = data
     return out
 
 
-def by_chunk(chunk: np.ndarray, kind: int, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
-    order = np.argsort(chunk, kind="stable")
-    first = runs(chunk[order])
-    ends = np.append(first, len(order))
-    return [(int(chunk[order[a]]), kind, pack(*(c[order[a:b]] for c in columns))) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-
-
-def settle(part: pa.Table, parts: int) -> pa.Table:
-    """A part of the dictionary: occurrences that go whole (kind 0) and those to compare by their bytes (kind 1)."""
-    rows = list(zip(part.column("chunk").to_pylist(), part.column("data").to_pylist()))
-    if part.num_rows and part.column("part")[0].as_py() >= parts:
-        done = []
-        for chunk, data in rows:
-            row, place = unpack(data, ("u4", "u4"))
-            done.append((chunk, 0, pack(np.cumsum(row, dtype=np.uint32), place)))
-        return verdicts(done)
-    got = [unpack(data, ("u4", "u8", "u2", "i8", "u4", "u4")) for _, data in rows]
-    got = [(k, p, s, np.cumsum(d), np.cumsum(r, dtype=np.uint32), o) for k, p, s, d, r, o in got]
-    trigger, phrase, sides, doc, row, place = (np.concatenate(x) for x in zip(*got))
-    chunk = np.repeat(np.array([c for c, _ in rows], np.int64), [len(x[0]) for x in got])
-    order = np.lexsort((doc, phrase, trigger))
-    trigger, phrase, sides, doc, row, place, chunk = (x[order] for x in (trigger, phrase, sides, doc, row, place, chunk))
-    first = runs(trigger, phrase)
-    smallest = spread(first, doc[first], len(doc))
-    whole = doc > smallest
-    ask = spread(first, compared(trigger[first], sides[first], doc[first]), len(doc)) & ~whole
-    return verdicts(by_chunk(chunk[whole], 0, row[whole], place[whole]) + by_chunk(chunk[ask], 1, row[ask], place[ask]))
-
-
-def compared(trigger: np.ndarray, sides: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which distinct phrases (sorted by trigger) may share a string with another's: the same trigger and an equal half."""
-    out = np.zeros(len(trigger), bool)
-    for side in (sides >> np.uint16(8), sides & np.uint16(255)):
-        k = np.flatnonzero(side)
-        k = k[np.lexsort((side[k], trigger[k]))]
-        if len(k):
-            first = runs(trigger[k], side[k])
-            several = np.minimum.reduceat(doc[k], first) < np.maximum.reduceat(doc[k], first)
-            out[k] |= spread(first, several, len(k))
-    return out
+def routed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["part", "chunk", "data"])
 
 
-def asked_phrases(chunk_rows: pa.Table, folder: str, parts: int, least: int, key: str, text: str) -> pa.Table:
-    """The bytes of a chunk's phrases that were asked for, by part."""
-    chunk = chunk_rows.column("chunk")[0].as_py()
-    rows = Chunks(folder).read(chunk)
-    data, cuts = texts_of(column(rows, text))
-    order = order_of(column(rows, key))
-    row, place = (np.concatenate(x) for x in zip(*(unpack(d, ("u4", "u4")) for d in chunk_rows.column("data").to_pylist())))
-    reach, out = least - SEED, []
-    wide = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(least, np.uint8)])
-    for a in range(0, len(row), SORTED):
-        r, at = row[a : a + SORTED], place[a : a + SORTED].astype(np.int64)
-        begin = cuts[r] + at
-        phrases = wide[begin[:, None] + np.arange(reach + least)[None, :]]
-        left, right = np.minimum(at, reach).astype(np.uint8), np.minimum(cuts[r + 1] - begin - SEED, reach).astype(np.uint8)
-        seed = mix((phrases[:, reach : reach + SEED].astype(np.uint64) + np.uint64(1)) @ _power(_BASE, "base", SEED)[:SEED])
-        part = (seed % np.uint64(parts)).astype(np.int64)
-        for p in np.unique(part).tolist():
-            k = np.flatnonzero(part == p)
-            out.append((p, chunk, pack(seed[k], order[r[k]], r[k], place[a : a + SORTED][k], left[k], right[k], phrases[k].view(f"V{reach + least}").ravel())))
-    return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["part", "chunk", "data"])
-
-
-def sort_suffixes(part: pa.Table, least: int) -> pa.Table:
-    """Spans (kind 2) of phrases' bytes in strings that start in a smaller document, by runs of equal suffixes."""
-    reach = least - SEED
-    rows = list(zip(part.column("chunk").to_pylist(), part.column("data").to_pylist()))
-    got = [unpack(d, ("u8", "i8", "u4", "u4", "u1", "u1", f"V{reach + least}")) for _, d in rows]
-    seed, doc, row, place, left, right, phrases = (np.concatenate(x) for x in zip(*got))
-    chunk = np.repeat(np.array([c for c, _ in rows], np.int64), [len(x[0]) for x in got])
-    by_seed = np.argsort(seed, kind="stable")
-    ends = np.append(runs(seed[by_seed]), len(seed))
-    out, a = [], 0
-    while a < len(seed):
-        b = int(ends[max(np.searchsorted(ends, a + SORTED, "right") - 1, np.searchsorted(ends, a, "right"))])
-        k = by_seed[a:b]
-        a = b
-        bytes_ = phrases[k].view(np.uint8).reshape(len(k), reach + least)
-        total = np.zeros((len(k), reach + least + 1), np.uint64)
-        np.cumsum((bytes_.astype(np.uint64) + np.uint64(1)) * _power(_BASE, "base", reach + least)[: reach + least], axis=1, out=total[:, 1:])
-        low, high = np.full(len(k), 1 << 30), np.full(len(k), -1)
-        for s in range(reach + 1):
-            own = np.flatnonzero((s >= reach - left[k].astype(np.int64)) & (s <= right[k].astype(np.int64)))
-            suffix = mix((total[own, s + least] - total[own, s]) * _power(_INVERSE, "inverse", reach + 1)[s])
-            order = np.lexsort((doc[k][own], suffix))
-            first = runs(suffix[order])
-            docs = doc[k][own][order]
-            hit = own[order[docs > spread(first, docs[first], len(docs))]] if len(docs) else own
-            low[hit] = np.minimum(low[hit], s)
-            high[hit] = s
-        some = high >= 0
-        start = place[k[some]].astype(np.int64) - reach
-        out += by_chunk(chunk[k[some]], 2, row[k[some]], start + low[some], start + high[some] + least)
-    return verdicts(out)
-
-
-def removed_bytes(chunk_rows: pa.Table, folder: str, least: int, text: str, keep: list[str]) -> pa.Table:
+def ask_phrases(chunks: DataFrame, folder: str, parts: int, least: int, key: str, text: str) -> DataFrame:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in batch.column(0).to_pylist():
+                rows = Chunk(folder, chunk, parts, least, key, text).phrases.sent(chunk, True)
+                for a in range(0, len(rows), 64):
+                    yield routed(rows[a : a + 64])
+
+    return chunks.mapInArrow(ask, ROUTED)
+
+
+def ask_halves(known: pa.Table, folder: str, parts: int, least: int, key: str, text: str) -> pa.Table:
+    number = known.column("chunk")[0].as_py()
+    chunk = Chunk(folder, number, parts, least, key, text)
+    return pa.Table.from_batches([routed(chunk.halves(chunk.copies(answers_of(known)))[1].sent(number, False))])
+
+
+def ask_strings(known: pa.Table, folder: str, parts: int, least: int, key: str, text: str) -> pa.Table:
+    number, answers = known.column("chunk")[0].as_py(), answers_of(known)
+    chunk = Chunk(folder, number, parts, least, key, text)
+    return pa.Table.from_batches([routed(chunk.strings(chunk.asked(chunk.copies(answers), answers))[2].sent(number, True))])
+
+
+def answer(part: pa.Table, kind: int) -> pa.Table:
+    """For each key that a chunk sent: whether another chunk has it in a smaller document or, for halves, at all."""
+    chunk, number = part.column("chunk").to_pylist(), part.column("part")[0].as_py()
+    got = [unpack(d, ("u4",) if kind == HALVES else ("u8", "i8")) for d in part.column("data").to_pylist()]
+    key = np.concatenate([x[0] for x in got])
+    yes = np.empty(len(key), bool)
+    if kind == HALVES:
+        order = np.argsort(key, kind="stable")
+        first = runs(key[order])
+        yes[order] = spread(first, np.diff(np.append(first, len(key))) > 1, len(key))
+    else:
+        doc = np.concatenate([np.cumsum(x[1]) for x in got])
+        order = np.lexsort((doc, key))
+        first = runs(key[order])
+        yes[order] = doc[order] > spread(first, doc[order][first], len(key))
+    ends = np.cumsum([len(x[0]) for x in got]).tolist()
+    out = [(c, np.packbits(yes[a:b]).tobytes()) for c, a, b in zip(chunk, [0, *ends], ends) if yes[a:b].any()]
+    return pa.Table.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([kind] * len(out), pa.int32()), pa.array([number] * len(out), pa.int64()), pa.array([d for _, d in out], pa.binary())], ["chunk", "kind", "part", "data"])
+
+
+def removed_bytes(known: pa.Table, folder: str, parts: int, least: int, key: str, text: str, keep: list[str]) -> pa.Table:
     """A chunk's rows with what is left of their texts."""
-    chunk = chunk_rows.column("chunk")[0].as_py()
-    rows = Chunks(folder).read(chunk)
-    data, cuts = texts_of(column(rows, text))
+    number, answers = known.column("chunk")[0].as_py(), answers_of(known)
+    chunk = Chunk(folder, number, parts, least, key, text)
+    rows, data, cuts = chunk.rows, chunk.data, chunk.cuts
     size = np.diff(cuts)
     change = np.zeros(len(data) + 1, np.int32)
-    for kind, blob in zip(chunk_rows.column("kind").to_pylist(), chunk_rows.column("data").to_pylist()):
-        if kind == 2:
-            row, a, b = unpack(blob, ("u4", "i8", "i8"))
-        elif kind == 0:
-            row, place = unpack(blob, ("u4", "u4"))
-            a, b = place.astype(np.int64) - (least - SEED), place.astype(np.int64) + least
-        else:
-            continue
+    copies = chunk.copies(answers)
+    row, place, strings = chunk.strings(chunk.asked(copies, answers))
+    later = strings.later | strings.answered(answers.get(STRINGS, {}))
+    for row, a, b in ((chunk.row[copies], chunk.place[copies] - (least - SEED), chunk.place[copies] + least), (row[later], place[later], place[later] + least)):
         a, b = np.maximum(a, 0) + cuts[row], np.minimum(b, size[row]) + cuts[row]
         np.add.at(change, a, 1)
         np.add.at(change, b, -1)
@@ -377,13 +387,20 @@ def without_repeats(docs: DataFrame, least: int = 50, key: str = "doc_id", text:
     columns = list(dict.fromkeys([key, *keep, text]))
     chunks = copied(docs.select(*columns), folder, text)
     n = max(1, chunks.count())
-    parsed = parse_chunks(chunks.repartition(n), folder, parts, least, key, text)
-    known = written(parsed.groupBy("part").applyInArrow(lambda t: settle(t, parts), VERDICTS), "verdicts")
-    asked = known.filter("kind = 1").groupBy("chunk").applyInArrow(lambda t: asked_phrases(t, folder, parts, least, key, text), ROUTED)
-    spans = asked.groupBy("part").applyInArrow(lambda t: sort_suffixes(t, least), VERDICTS)
-    every = chunks.select("chunk", F.lit(9).alias("kind"), F.lit(b"").alias("data"))
+    given = (folder, parts, least, key, text)
+
+    def answered(asked: DataFrame, kind: int) -> DataFrame:
+        return asked.groupBy("part").applyInArrow(lambda t: answer(t, kind), ANSWERS)
+
+    def by_chunk(rows: DataFrame):
+        return rows.repartition(n, "chunk").groupBy("chunk")  # answers are small: their size says nothing of the work
+
+    every = chunks.select("chunk", F.lit(EVERY).alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(b"").alias("data"))
+    known = every.unionByName(written(answered(ask_phrases(chunks.repartition(n), *given), PHRASES), "phrases"))
+    known = known.unionByName(written(answered(by_chunk(known).applyInArrow(lambda t: ask_halves(t, *given), ROUTED), HALVES), "halves"))
+    strings = answered(by_chunk(known).applyInArrow(lambda t: ask_strings(t, *given), ROUTED), STRINGS)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return known.filter("kind = 0").unionByName(spans).unionByName(every).groupBy("chunk").applyInArrow(lambda t: removed_bytes(t, folder, least, text, keep), schema)
+    return by_chunk(known.unionByName(strings)).applyInArrow(lambda t: removed_bytes(t, *given, keep), schema)
 
 
 def op8_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -179,6 +179,30 @@ def test_substrings_of_random_small_alphabets(spark):
     hold_against_all_strings(docs)
 
 
+def test_substrings_of_a_frequent_seed_are_spread(spark, monkeypatch):
+    """A seed that every document holds, between surroundings that differ, must not send every document to one group."""
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    text = some(100_000)
+    found = substrings.Parse(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 50)
+    at = int(found.place[np.argmin(found.trigger >> np.uint64(32))])
+    seed, phrase = text[at : at + 16], text[at - 12 : at + 28]
+    docs = spark.createDataFrame([(i, some(60) + (seed if i % 2 else phrase) + some(60)) for i in range(3000)], "doc_id long, text string").repartition(3).cache()
+    shares, plain = [], type(docs).groupBy
+
+    def watched(df, *columns):
+        if columns == ("part",):
+            sizes = [r.n for r in plain(df, "part").agg(F.sum(F.octet_length("data")).alias("n")).collect()]
+            shares.append(max(sizes) / sum(sizes) if sum(sizes) > 100_000 else 0)
+        return plain(df, *columns)
+
+    monkeypatch.setattr(type(docs), "groupBy", watched)
+    got = substrings.without_repeats(docs)
+    monkeypatch.undo()
+    assert shares and max(shares) < 0.05
+    assert got.agg(F.sum("n_removed")).first()[0] == 0
+
+
 def brute_contamination(docs, items):
     word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = {}
