@@ -18,6 +18,9 @@ or a string that very many documents hold: it has at most one row for each chunk
 3. Strings of `least` bytes of those phrases, each at the first of its smallest triggers, with the chunk's smallest
    document: a string that starts in a later document goes.
 
+Hashes stand in for the suffix arrays of the dictionary and of the parse: neither is made, strings have no order, and
+equal 64-bit hashes in a part count as equal strings without a comparison of bytes.
+
 Chunks of the input are copied to the shared folder once and parsed anew in each round, so that neither texts nor places
 are ever shuffled: only hashes, and answers to them.
 
