@@ -10,7 +10,8 @@ order, which is then checked word by word.
 The index is held in blocks of at most INDEX_BLOCK windows, each broadcast alone and searched in its own pass, so its
 size is bounded whatever the benchmark's. Documents never leave their task, so one passage that many share is no hot key.
 
-A null text has no words; documents without words and items without words match nothing. Rows that repeat an id are
+A null text has no words; documents without words and items without words match nothing. Items without id are
+left out: what holds only their windows has n_hit 0 and isn't contaminated. Rows that repeat an id are
 judged each; windows that several items share count for each. An empty benchmark leaves every document clean.
 """
 
