@@ -123,8 +123,9 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """Writes every row of pages to archives below folder; a table of their file, records and raw_bytes."""
     some = pages.filter(F.length(payload) > 0)
     share = SAMPLES / max(some.count(), SAMPLES)  # about SAMPLES rows reach the driver, however many tasks there are
-    picked = some.filter(F.pmod(F.xxhash64(key, url), F.lit(1 << 40)) < int(share * (1 << 40)))
-    sample = picked.select(F.encode(F.substring(payload, 1, SAMPLE_BYTES // 4), "UTF-8").alias("p"))
+    # the payload counts in the hash, as rows without key and url have nothing else; rows equal in all are picked once
+    picked = some.filter(F.pmod(F.xxhash64(key, url, payload), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = picked.select(F.encode(F.substring(payload, 1, SAMPLE_BYTES // 4), "UTF-8").alias("p")).distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLES)
     dictionary = train(sorted(bytes(r.p) for r in sample.collect()))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

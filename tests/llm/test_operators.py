@@ -260,6 +260,16 @@ def test_warc(spark, tmp_path):
         assert warc.key_of(warc.record_id(key)) == key
 
 
+def test_warc_sample_of_rows_without_key_and_url_is_bounded(spark, tmp_path, monkeypatch):
+    rows = [(None, None, f"<p>{i}</p>") for i in range(2000)] + [(7, "u", "<p>same</p>")] * 1000
+    sizes, train = [], warc.train
+    monkeypatch.setattr(warc, "train", lambda payloads: sizes.append(len(payloads)) or train(payloads))
+    folder = f"file://{tmp_path}/warc"
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    assert 0 < sizes[0] <= warc.SAMPLES
+    assert warc.read_archives(archives, folder).count() == 3000
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(0, 0.2, (300, 16)).astype(np.float32)
