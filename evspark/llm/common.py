@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset in a local run."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         set_to = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.sparkContext.setCheckpointDir(set_to)
         spark.conf.set("spark.checkpoint.dir", set_to)
@@ -38,3 +41,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a column over all rows."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
+
+
+def named(column: str) -> Column:
+    """A column by its name as it is, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def with_made(docs: DataFrame, keep: list[str], made: str) -> StructType:
+    """The schema of the columns `keep` of docs and then those of the DDL string `made`."""
+    return StructType([docs.schema[c] for c in keep] + StructType.fromDDL(made).fields)

@@ -10,7 +10,8 @@ order, which is then checked word by word.
 The index is held in blocks of at most INDEX_BLOCK windows, each broadcast alone and searched in its own pass, so its
 size is bounded whatever the benchmark's. Documents never leave their task, so one passage that many share is no hot key.
 
-A null text has no words; documents without words and items without words match nothing. Items without id are
+A null text has no words; texts of any length are searched whole; an empty table of documents gives no rows; other columns
+than those asked for aren't read. Documents without words and items without words match nothing. Items without id are
 left out: what holds only their windows has n_hit 0 and isn't contaminated. Rows that repeat an id are
 judged each; windows that several items share count for each. An empty benchmark leaves every document clean.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.common import table, written
+from evspark.llm.common import named, table, with_made, written
 from evspark.llm.shingles import PUNCTUATION, blocks, shingle_hashes, word_hashes
 
 #: Windows of one index block; with windows of 10 words, about 200 bytes each.
@@ -151,7 +152,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, width: in
 
     found = None
     names = [*keep, "n_words", "spans", "items"]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_words long, spans array<long>, items array<string>"
+    kinds = with_made(docs, keep, "n_words long, spans array<long>, items array<string>")
     for n in range(n_blocks):
         rows = [(r.item, np.array(r.words, np.int64).view(np.uint64)) for r in blocks_of.filter(F.col("_block") == n).collect()]
         tokens = np.unique(np.concatenate([shingle_hashes(w, width) for _, w in rows])) if rows else np.zeros(0, np.uint64)
@@ -169,7 +170,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, width: in
                         names_of[first + i].add(own.items[w])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n_words), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in names_of], pa.list_(pa.string()))], names)
 
-        part = docs.select(*keep, text).mapInArrow(search, kinds)
+        part = docs.select(*map(named, keep), named(text)).mapInArrow(search, kinds)
         found = part if found is None else found.unionByName(part)
     if n_blocks > 1:  # a document's spans of all blocks meet; rows that are equal stay as many as they are
         joined = found.groupBy(*keep, "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / n_blocks).cast("int").alias("_copies"))
@@ -188,9 +189,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, width: in
                 digest.append(hashlib.sha256(",".join(own).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 1], pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = found.mapInArrow(union_length, f"{kept}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    return rows.select(*out, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    rows = found.mapInArrow(union_length, with_made(docs, keep, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"))
+    return rows.select(*map(named, out), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -69,11 +69,33 @@ def word_spans(low: np.ndarray, cuts: np.ndarray, between: np.ndarray) -> tuple[
     return np.flatnonzero(inside & edge), np.flatnonzero(inside & last) + 1
 
 
+def runs_of_words(data: np.ndarray, cuts: np.ndarray, between: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in data, lower-cased bytes, starts, ends of words) of runs of about BLOCK bytes that end between words, so
+    that a long text needs little more memory than its words. starts and ends are places in the run."""
+    if len(cuts) != 2:
+        low = LOWER[data]
+        yield 0, low, *word_spans(low, cuts, between)
+        return
+    at = 0
+    while at < len(data):
+        to = min(at + BLOCK, len(data))
+        while to < len(data):
+            gap = np.flatnonzero(between[LOWER[data[to : to + BLOCK]]])
+            to = to + int(gap[0]) if len(gap) else min(to + BLOCK, len(data))
+            if len(gap):
+                break
+        low = LOWER[data[at:to]]
+        yield at, low, *word_spans(low, np.array([0, to - at]), between)
+        at = to
+
+
 def word_hashes(data: np.ndarray, cuts: np.ndarray, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, start, end) of each word, A-Z lower-cased. start and end are places in data."""
-    low = LOWER[data]
-    starts, ends = word_spans(low, cuts, between)
-    return span_hashes(low)(starts, ends), np.searchsorted(cuts, starts, "right") - 1, starts, ends
+    found = [(span_hashes(low)(a, b), a + at, b + at) for at, low, a, b in runs_of_words(data, cuts, between)]
+    if not found:
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    words, starts, ends = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found))
+    return words, np.searchsorted(cuts, starts, "right") - 1, starts, ends
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.common import new_path, table, text_bytes, written
+from evspark.llm.common import named, new_path, table, text_bytes, with_made, written
 from evspark.llm.shingles import _BASE, _INVERSE, _power, mix, texts_of
 
 #: Bytes of the string whose hash triggers.
@@ -374,21 +374,26 @@ def removed_bytes(known: pa.Table, folder: str, parts: int, least: int, key: str
     begins[inner] = gone[inner]
     gone_to, begins_to = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
     left = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    whole = left
+    if len(data) and data.max() >= 0x80:  # a character that keeps any of its bytes keeps all of them as text
+        of = np.cumsum(data & 0xC0 != 0x80) - 1
+        stays = np.bincount(of[~gone], minlength=int(of[-1]) + 1)[of] > 0
+        whole = [data[a:b][stays[a:b]].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
     made = {
         "n_bytes": pa.array(size), "n_removed": pa.array(gone_to[cuts[1:]] - gone_to[cuts[:-1]]), "n_spans": pa.array(begins_to[cuts[1:]] - begins_to[cuts[:-1]]),
-        "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left]), "kept_text": pa.array([x.decode(errors="ignore") for x in left]),
+        "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left]), "kept_text": pa.array([x.decode() for x in whole]),
     }
     return pa.Table.from_arrays([*(column(rows, c) for c in keep), *(x.cast(pa.int64()) if c.startswith("n_") else x for c, x in made.items())], [*keep, *made])
 
 
 def without_repeats(docs: DataFrame, least: int = 50, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`keep` (key, as a rule) of each row with n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the
-    bytes that stay) and kept_text (those bytes as text, without characters that lost some of their bytes)."""
+    bytes that stay) and kept_text (those bytes as text; a character of which only some bytes would go stays whole)."""
     spark, keep = docs.sparkSession, keep or [key]
     folder = new_path(spark, "texts")
     parts = max(64, text_bytes(docs, text) // PART_BYTES)
     columns = list(dict.fromkeys([key, *keep, text]))
-    chunks = copied(docs.select(*columns), folder, text)
+    chunks = copied(docs.select(*map(named, columns)), folder, text)
     n = max(1, chunks.count())
     given = (folder, parts, least, key, text)
 
@@ -402,7 +407,7 @@ def without_repeats(docs: DataFrame, least: int = 50, key: str = "doc_id", text:
     known = every.unionByName(written(answered(ask_phrases(chunks.repartition(n), *given), PHRASES), "phrases"))
     known = known.unionByName(written(answered(by_chunk(known).applyInArrow(lambda t: ask_halves(t, *given), ROUTED), HALVES), "halves"))
     strings = answered(by_chunk(known).applyInArrow(lambda t: ask_strings(t, *given), ROUTED), STRINGS)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    schema = with_made(docs, keep, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return by_chunk(known.unionByName(strings)).applyInArrow(lambda t: removed_bytes(t, *given, keep), schema)
 
 

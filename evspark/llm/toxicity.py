@@ -4,9 +4,13 @@ Features are words and their first bytes, weighted by how often they occur in th
 weights: P(grade >= k) = sigmoid(w x - t_k) with t_1 <= t_2 <= ..., so the grades stay in order, and the expected
 severity is the sum of these probabilities. Weights are fitted by gradient ascent with moments and weight decay.
 
-The model learns from a sample of labelled documents bounded by `sample` for each of grade 0 and the grades above it.
-A label without a document, or with nulls, isn't learnt from. Without two grades to learn, every text has severity 0.
-Null and empty texts have severity 0; texts of any length are read whole; repeated rows are scored each.
+The model learns from a sample of labelled documents bounded by `sample` for each of grade 0 and the grades above it, of
+at most SAMPLE_CHARS characters each. A label without a document, or with nulls, isn't learnt from. Without two grades to
+learn, every text has severity 0. Labels that contradict the text (toxic, but without any word that marks toxic texts)
+are noise that the model doesn't follow, so documents it was fitted on can be judged against their label.
+
+Null and empty texts have severity 0; texts of any length are read whole, in runs; repeated rows are scored each; texts
+that tie have equal scores; an empty table gives no rows. Other columns travel as a struct, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -15,16 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm.common import table
-from evspark.llm.shingles import LOWER, PUNCTUATION, blocks, span_hashes, word_spans
+from evspark.llm.common import named, table
+from evspark.llm.shingles import PUNCTUATION, blocks, runs_of_words, span_hashes
 
 #: Labelled documents to learn from, of grade 0 and of the others each, about.
 SAMPLE = 3000
+#: Longest text that is learned from, in characters; longer ones are only scored, so that the sample's bytes are bounded.
+SAMPLE_CHARS = 32_768
 #: Features of a model.
-FEATURES = 2048
+FEATURES = 512
 #: Buckets that features are counted in before the best are counted themselves.
 BUCKETS = 1 << 20
 #: Deviations by which a feature's share in toxic texts must differ.
@@ -36,16 +42,18 @@ PREFIXES = (4, 5, 6)
 def features_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, features, text of each feature, words by text) for runs of texts."""
     for first, data, cuts in blocks(column):
-        low = LOWER[data]
-        starts, ends = word_spans(low, cuts, PUNCTUATION)
-        of = span_hashes(low)
-        text = np.searchsorted(cuts, starts, "right") - 1
-        found, texts = [of(starts, ends)], [text]
-        for n in PREFIXES:
-            longer = ends - starts > n
-            found.append(of(starts[longer], starts[longer] + n) ^ np.uint64(n))
-            texts.append(text[longer])
-        yield first, np.concatenate(found), np.concatenate(texts), np.bincount(text, minlength=len(cuts) - 1)
+        found, texts, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros(len(cuts) - 1, np.int64)
+        for at, low, starts, ends in runs_of_words(data, cuts, PUNCTUATION):
+            of = span_hashes(low)
+            text = np.searchsorted(cuts, starts + at, "right") - 1
+            found.append(of(starts, ends))
+            texts.append(text)
+            words += np.bincount(text, minlength=len(words))
+            for n in PREFIXES:
+                longer = ends - starts > n
+                found.append(of(starts[longer], starts[longer] + n) ^ np.uint64(n))
+                texts.append(text[longer])
+        yield first, np.concatenate(found), np.concatenate(texts), words
 
 
 class Severity:
@@ -123,7 +131,7 @@ def fit(texts: list[str], grades: np.ndarray, clean_weight: float = 1.0, steps:
     column = pa.array(texts, pa.string())
     if not len(grades) or grades.max() == 0 or grades.min() > 0:
         return Severity(np.zeros(0, np.uint64), np.zeros(0), np.full(1, 60.0))
-    model = Severity(select(column, grades, max(32, min(FEATURES, int((grades > 0).sum()) // 4))), np.zeros(0), np.zeros(0))
+    model = Severity(select(column, grades, FEATURES), np.zeros(0), np.zeros(0))
     row, feature, value = [], [], []
     for first, found, text, words in features_of(column):
         r, k, v = model.values(found, text, words)
@@ -173,14 +181,16 @@ def rejecting_from(p: np.ndarray, toxic: np.ndarray, clean_weight: float) -> flo
 
 
 def graded_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, grade: str, sample: int) -> tuple[list[str], np.ndarray, float]:
-    """Texts, grades and the weight of a clean text of about `sample` labelled documents of grade 0 and as many above it, by a hash of their id."""
-    known = labels.filter(F.col(key).isNotNull() & F.col(grade).isNotNull()).select(F.col(key).cast("long").alias("_id"), F.col(grade).cast("int").alias("_grade"))
+    """Texts, grades and the weight of a clean text of about `sample` labelled documents of grade 0 and as many above it, by
+    a hash of their id. Of labels that repeat an id the highest grade counts, of documents that do the least text."""
+    known = labels.filter(F.col(key).isNotNull() & F.col(grade).isNotNull()).groupBy(F.col(key).cast("long").alias("_id")).agg(F.max(F.col(grade).cast("int")).alias("_grade"))
     counts = known.agg(F.count(F.when(F.col("_grade") > 0, 1)).alias("bad"), F.count(F.when(F.col("_grade") <= 0, 1)).alias("good")).first()
     share = lambda n: min(1.0, sample / max(n, 1))
     picked = F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.when(F.col("_grade") > 0, share(counts.bad) * 1e6).otherwise(share(counts.good) * 1e6)
-    # about 2 * sample labels are picked, so they are broadcast and no text is shuffled
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).filter("_text IS NOT NULL").join(F.broadcast(known.filter(picked)), "_id").select("_id", "_text", "_grade").collect()
-    rows.sort(key=lambda r: (r._id, r._grade, r._text))
+    wanted = known.filter(picked).limit(4 * sample)  # about 2 * sample; the limit bounds what is broadcast, whatever the hash
+    short = docs.select(F.col(key).cast("long").alias("_id"), named(text).alias("_text")).filter(F.length("_text") <= SAMPLE_CHARS)
+    rows = short.join(F.broadcast(wanted), "_id").groupBy("_id", "_grade").agg(F.min("_text").alias("_text")).collect()
+    rows.sort(key=lambda r: r._id)
     grades = np.array([max(r._grade, 0) for r in rows], np.int64)
     return [r._text for r in rows], grades, max(1.0, share(counts.bad) / share(counts.good))
 
@@ -199,23 +209,33 @@ def graded_by_marks(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     return toxic + (toxic & (often > np.median(often[toxic > 0])))
 
 
-def severity(docs: DataFrame, model: Severity, keep: list[str], text: str = "text") -> DataFrame:
-    """`keep` of each row of docs, n_words, p_toxic (of a grade above 0), severity (expected), grade and toxic (p_toxic >= model.reject_at)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES features at most
+SCORES = "n_words long, p_toxic double, severity double, grade int, toxic boolean"
+
+
+def scores(model: Severity, text: Column) -> Column:
+    """n_words, p_toxic (of a grade above 0), severity (expected), grade and toxic (p_toxic >= model.reject_at) of a text,
+    as a struct. Only the text goes to Python; rows wait in the JVM."""
+    shared = SparkSession.active().sparkContext.broadcast(model)  # FEATURES features at most
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(SCORES)
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for batch in batches:
             words, p = np.zeros(len(batch), np.int64), np.zeros((len(batch), len(own.thresholds)))
-            for first, found, of, n in features_of(batch.column(len(keep))):
+            for first, found, of, n in features_of(batch):
                 words[first : first + len(n)] = n
                 p[first : first + len(n)] = own.at_least(found, of, n)
             p[words == 0] = 0
             made = [pa.array(words), pa.array(p[:, 0]), pa.array(p.sum(1)), pa.array((p >= 0.5).sum(1), pa.int32()), pa.array(p[:, 0] >= own.reject_at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, "n_words", "p_toxic", "severity", "grade", "toxic"])
+            yield pa.StructArray.from_arrays(made, ["n_words", "p_toxic", "severity", "grade", "toxic"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text).mapInArrow(score, f"{kinds}, n_words long, p_toxic double, severity double, grade int, toxic boolean")
+    return score(text)
+
+
+def severity(docs: DataFrame, model: Severity, keep: list[str], text: str = "text") -> DataFrame:
+    """`keep` of each row of docs with its scores."""
+    made = docs.select(F.struct(*map(named, keep)).alias("row"), scores(model, named(text)).alias("scores"))
+    return made.select("row.*", "scores.*")
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
