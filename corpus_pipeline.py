@@ -2,55 +2,97 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
 columns of documents; a stage's result is written as Parquet and reread as the next one's docs.
+
+Rows travel as one column through a stage, so their other columns may have any names, of columns that a stage makes too.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evspark.llm.common import table, written
+from evspark.llm.common import named, table, written
 from evspark.llm.decontamination import contamination
 from evspark.llm.near_duplicates import near_duplicates
 from evspark.llm.packing import pack
 from evspark.llm.substrings import without_repeats
-from evspark.llm.toxicity import learned, severity
+from evspark.llm.toxicity import learned, scores
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _row(docs: DataFrame):
+    """All columns of docs as one."""
+    return F.struct(*map(named, docs.columns)).alias("_row")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model of their labels doesn't reject. Rows travel as one column, so their names can't clash."""
-    rows = docs.select(F.struct("*").alias("_row"), "text")
-    scored = severity(rows, learned(docs, table(spark, sf_dir, "labels")), ["_row"])
-    return scored.filter(~F.col("toxic")).select("_row.*")
+    """Documents that the model of their labels doesn't reject.
+
+    Null and empty texts aren't toxic; a null doc_id only keeps a row from being learned from; texts of any length are
+    scored whole; repeated rows and equal texts share one answer; an empty table stays empty, and without labels of both
+    kinds all rows stay.
+    """
+    model = learned(docs, table(spark, sf_dir, "labels"))
+    return docs.select(_row(docs), scores(model, F.col("text")).alias("_s")).filter("NOT _s.toxic").select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest doc_id; rows without doc_id stay."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    with_id = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    return with_id.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group of near duplicates, the one of the smallest doc_id, as one row.
+
+    Null and empty texts, and texts without words, are duplicates of nothing but of rows with their doc_id. Of rows that
+    repeat a kept doc_id the one of the least hash of its text stays. Rows without doc_id go where another row with one
+    has their text, and stay once for each text otherwise, but all of those without words stay. Texts of any length
+    count whole. An empty table stays empty.
+    """
+    judged = near_duplicates(docs)
+    kept = judged.filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.md5("text").alias("_class"), _row(docs))
+    one = Window.partitionBy("_id").orderBy("_class")
+    with_id = rows.filter("_id IS NOT NULL").join(kept, "_id", "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("_row")
+    bare = rows.filter("_id IS NULL")
+    if bare.isEmpty():
+        return with_id.select("_row.*")
+    worded = F.col("_row.text").rlike(r"[^\x20\x09-\x0D]")
+    seen = rows.filter("_id IS NOT NULL").select("_class").distinct()
+    once = Window.partitionBy("_class").orderBy(F.lit(0))
+    texts = bare.filter(worded).join(seen, "_class", "left_anti").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row")
+    return with_id.unionByName(texts).unionByName(bare.filter(F.coalesce(~worded, F.lit(True))).select("_row")).select("_row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that repeat strings of 50 bytes of documents with smaller doc_id."""
-    rows = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("_row"))
+    """All documents, without the bytes that repeat strings of 50 bytes of documents with smaller doc_id.
+
+    Cuts are narrowed to whole characters: one of which only some bytes repeat stays. Null texts become empty, as do
+    texts that repeat as a whole. Rows without doc_id come after all others and don't cut each other, nor do rows of one
+    doc_id. n_chars, where there is one, tells the new text's length. Texts of any length are cut whole. An empty table
+    stays empty.
+    """
+    rows = docs.select("doc_id", "text", F.struct(*(named(c) for c in docs.columns if c != "text")).alias("_row"))
     left = without_repeats(rows, keep=["_row"])
     made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
-    return left.select(*(made.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
+    return left.select(*(made.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    """Documents without any window of a benchmark item.
+
+    Null and empty texts hold none and stay, whatever their doc_id; texts of any length are searched whole; repeated rows
+    are judged each; items that tie count alike; an empty table of documents or of items changes nothing.
+    """
+    rows = docs.select(_row(docs), "doc_id", "text")
     judged = contamination(rows, table(spark, sf_dir, "benchmark"), keep=["_row"])
     return judged.filter(~F.col("contaminated")).select("_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 4096 tokens."""
+    """Pieces of all documents with their places in sequences of 4096 tokens.
+
+    Null and empty texts are one end token; rows with null or repeated doc_id are packed each; long texts are cut into
+    several pieces; pieces that tie in all that is known of them are interchangeable; an empty table gives no rows.
+    """
+    import public_tokenizers
+
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -62,7 +104,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL has no form of the fitted model or the packing program; tests hold the stages against brute force.
+#: SQL has no form of the fitted model or the packing program; tests hold the stages against planted cases and brute force.
 ORACLE_SQL = None
 
 
