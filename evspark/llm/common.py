@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,3 +53,33 @@ def named(column: str) -> Column:
 def with_made(docs: DataFrame, keep: list[str], made: str) -> StructType:
     """The schema of the columns `keep` of docs and then those of the DDL string `made`."""
     return StructType([docs.schema[c] for c in keep] + StructType.fromDDL(made).fields)
+
+
+class Chunks:
+    """Arrow files of a folder that all executors reach."""
+
+    def __init__(self, folder: str):
+        from pyarrow.fs import FileSystem
+
+        self.files, self.path = FileSystem.from_uri(folder)
+
+    def write(self, rows: list[pa.RecordBatch], schema: pa.Schema) -> int:
+        chunk = uuid.uuid4().int >> 65
+        self.files.create_dir(self.path, recursive=True)
+        with self.files.open_output_stream(f"{self.path}/{chunk}.arrow") as out, pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            for x in rows:
+                stream.write_batch(x)
+        return chunk
+
+    def read(self, chunk: int) -> pa.Table:
+        with self.files.open_input_stream(f"{self.path}/{chunk}.arrow") as f:
+            return pa.ipc.open_stream(f).read_all().combine_chunks()
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system at the end of a task, as a Python worker lives on beside its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass

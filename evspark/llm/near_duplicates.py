@@ -100,7 +100,9 @@ def most_bits(na: Column, nb: Column, percent: int) -> Column:
     kept = F.least(F.lit(1.0), SAMPLES / F.greatest(na, nb))  # the share of them that both samples hold
     differ = F.least(na, F.lit(SAMPLES)) + F.least(nb, F.lit(SAMPLES)) - 2 * common * kept
     estimate = SKETCH_BITS / 2 * (1 - F.exp(-2 * differ / SKETCH_BITS))
-    margin = 5.5 * (2 * F.sqrt(common * kept * (1 - kept * common / F.greatest(na, nb)) + differ / 2) + 8)
+    # deviations of the shared samples, of the samples' bounds, and of how often samples meet in a bit
+    chance = common * kept * (1 - common / F.greatest(na, nb)) + SAMPLES * (1 - common / F.least(na, nb))
+    margin = 5.5 * F.sqrt(2.6 * chance + 2 * differ * differ / SKETCH_BITS + 16)
     return F.when(kept >= 1, differ + 1e-6).otherwise(estimate + margin)
 
 

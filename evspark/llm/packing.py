@@ -3,15 +3,18 @@
 Documents longer than the capacity are cut into pieces of that capacity; all other pieces are packed whole. Spark
 tokenizes, counts lengths, numbers the pieces within each length and gives each its place. The driver holds the
 histogram alone, whose size is bounded by the capacity: over it, multiplicative weights price sequence patterns by a
-knapsack dynamic program, the fractional solution is rounded down, and what is left is placed best-fit decreasing by
-whole groups of equal sequences, so that the driver's work doesn't depend on the number of pieces.
+knapsack dynamic program, the fractional solution is rounded, what that leaves is solved again, and the last pieces are
+placed best-fit decreasing by whole groups of equal sequences, so the driver's work doesn't depend on the number of pieces.
 
 A null text counts as empty: its one piece is the end token. Rows with null or repeated doc_id are packed like any
-other. Rows that agree in doc_id, piece, length and checksum are interchangeable. An empty table gives no rows.
+other; texts of any length are encoded whole. Pieces that agree in doc_id, piece, length and checksum are
+interchangeable. An empty table gives no rows. Columns other than the key and the text aren't read.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -21,84 +24,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evspark.llm.common import table, written
+from evspark.llm.common import named, table, tidy, with_made, written
 from evspark.llm.tokens import Encoder
 
-#: Rows that one task numbers within a length, about; lengths with more are split by a hash.
-NUMBERED_TOGETHER = 100_000
+PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, piece, start, length, ids_crc32 of each document's pieces; its ids are those of its text and then end_id."""
+    """key, piece, start, length, ids_crc32 of each document's pieces; its ids are those of its text and then end_id. part
+    names the task that cut them, local numbers its pieces of each length."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
+        encoder, part, seen = Encoder.of(path), uuid.uuid4().int >> 65, [0] * (capacity + 1)
         for batch in batches:
-            row, piece, length, crc = [], [], [], []
+            row, piece, length, crc, local = [], [], [], [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
                 ids = encoder.ids(value or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
+                    own = ids[at : at + 4 * capacity]
+                    n = len(own) // 4
                     row.append(i)
                     piece.append(k)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+                    length.append(n)
+                    crc.append(zlib.crc32(own))
+                    local.append(seen[n])
+                    seen[n] += 1
             pieces = np.array(piece, np.int64)
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(pieces, pa.int32()), pa.array(pieces * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [key, "piece", "start", "length", "ids_crc32"])
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(pieces, pa.int32()), pa.array(pieces * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int64()), pa.array(local, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "piece", "start", "length", "ids_crc32", "part", "local"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+        tidy()
 
+    return docs.select(named(key), named(text)).mapInArrow(cut, with_made(docs, [key], f"{PIECE}, part long, local long"))
 
-def best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """Index in sizes -> copies of the most valuable multiset of sizes within capacity: the unbounded knapsack."""
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    order = np.argsort(sizes, kind="stable")
-    sizes, values = sizes[order], values[order]
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+
+def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The value of the best multiset of sizes within each room up to capacity, and what it takes first: an index, -2 for
+    a token left free or -1 for nothing. sizes must rise."""
+    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist()
     for room in range(int(sizes[0]), capacity + 1):
         n = fits[room]
         totals = best[room - sizes[:n]] + values[:n]
         k = int(totals.argmax())
-        best[room], took[room] = totals[k], k
-        if best[room - 1] > best[room]:
+        if best[room - 1] > totals[k]:
             best[room], took[room] = best[room - 1], -2
+        else:
+            best[room], took[room] = totals[k], k
+    return best, took
+
+
+def traced(sizes: list[int], took: list[int], room: int, used: list[bool]) -> dict[int, int] | None:
+    """Index in sizes -> copies of the best multiset within room, or None if that holds a used size."""
     pattern: dict[int, int] = {}
-    room = capacity
     while room > 0 and took[room] != -1:
-        if took[room] == -2:
+        k = took[room]
+        if k == -2:
             room -= 1
             continue
-        k = int(order[took[room]])
+        if used[k]:
+            return None
         pattern[k] = pattern.get(k, 0) + 1
-        room -= int(sizes[took[room]])
+        room -= sizes[k]
     return pattern
 
 
-def fractional_patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, priced: int, rate: float = 4.0) -> list[tuple[dict[int, int], float]]:
-    """Patterns and how often to use each, covering the counts about evenly: multiplicative weights on the covering program.
+def priced_patterns(sizes: np.ndarray, values: np.ndarray, capacity: int, within: float = 0.02) -> tuple[list[dict[int, int]], float]:
+    """Patterns worth at least 1 - `within` of the best, no two of which share a size, and the best pattern's value.
 
-    A length's weight falls exponentially with the share of its pieces that is covered so far. Each round prices the
-    `priced` lengths of most uncovered weight, and uses the best pattern for half of what it could take at most.
+    One dynamic program prices all: the best pattern that holds size k is k with the best of the room beside it.
     """
-    covered = np.zeros(len(sizes))
-    found: list[tuple[dict[int, int], float]] = []
-    for _ in range(rounds):
-        left = np.maximum(counts - covered, 0)
-        if left.sum() * 1.0 <= 0 or (left >= 1).sum() == 0:
+    best, took = knapsack(sizes, values, capacity)
+    worth = values + best[capacity - sizes]
+    found, used, plain, first = [], [False] * len(sizes), sizes.tolist(), took.tolist()
+    for k in np.argsort(-worth, kind="stable").tolist():
+        if worth[k] < (1 - within) * best[capacity]:
             break
-        worth = sizes * np.exp(-rate * covered / counts)
-        open_ = np.flatnonzero(left >= 1)
-        some = open_[np.argsort(-(worth * left)[open_], kind="stable")[:priced]]
-        pattern = {int(some[k]): n for k, n in best_pattern(sizes[some], worth[some], capacity).items()}
-        times = max(min(left[k] / n for k, n in pattern.items()) * 0.5, 1.0)
-        for k, n in pattern.items():
-            covered[k] += n * times
-        found.append((pattern, times))
-    return found
+        if used[k]:
+            continue
+        pattern = traced(plain, first, capacity - plain[k], used)
+        if pattern is None:
+            continue
+        pattern[k] = pattern.get(k, 0) + 1
+        for i in pattern:
+            used[i] = True
+        found.append(pattern)
+    return found, float(best[capacity])
 
 
 def best_fit_decreasing(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -133,22 +145,71 @@ def best_fit_decreasing(sizes: np.ndarray, counts: np.ndarray, capacity: int) ->
     return [(pattern, times) for group in by_room.values() for pattern, times in group]
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 150, priced: int = 192) -> list[tuple[dict[int, int], int]]:
-    """(pattern of length -> copies, times): every piece of the histogram in sequences of at most capacity tokens."""
+def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, step: float = 0.1, rate: float = 3.0) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """How often to use each pattern so that the counts are covered evenly, by multiplicative weights on the covering
+    program, and a bound from below on the sequences that the counts need.
+
+    A length's weight falls exponentially with the share of its pieces that is covered so far; each round prices all
+    lengths and uses every pattern found for `step` of what its scarcest length allows. Weights over the best pattern's
+    value are a solution of the dual program, whose worth is the bound.
+    """
+    covered, bound = np.zeros(len(sizes)), 0.0
+    found: dict[tuple[tuple[int, int], ...], float] = {}
+    for _ in range(rounds):
+        share = covered / counts
+        worth = sizes * np.exp(-rate * (share - share.min()))
+        patterns, value = priced_patterns(sizes, worth, capacity)
+        bound = max(bound, float(counts @ worth) / value)
+        for pattern in patterns:
+            times = step * min(counts[k] / n for k, n in pattern.items())
+            key = tuple(sorted(pattern.items()))
+            found[key] = found.get(key, 0.0) + times
+            for k, n in pattern.items():
+                covered[k] += n * times
+    mean = float((covered / counts).mean())
+    return {p: x / mean for p, x in found.items()}, bound
+
+
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 20, levels: int = 8, seed: int = 0) -> list[tuple[dict[int, int], int]]:
+    """(pattern of length -> copies, times): every piece of the histogram in sequences of at most capacity tokens.
+
+    The configuration program's fractional solution is rounded at random, up or down with its fraction as probability, as
+    far as pieces are there; what that leaves is solved and rounded again, until sequences and best-fit decreasing of the
+    rest meet the bound or a level places nothing. Patterns that leave more free than the fullest by 0.5 % aren't used.
+    Should best-fit decreasing alone need fewer sequences, it counts.
+    """
     sizes, counts = (np.array(x, np.int64) for x in (list(histogram), list(histogram.values())))
     order = np.argsort(sizes)
     sizes, counts = sizes[order], counts[order]
-    left, chosen = counts.copy(), []
-    if len(sizes):
-        for pattern, times in fractional_patterns(sizes, counts.astype(float), capacity, rounds, priced):
-            whole = min(int(times), *(int(left[k]) // n for k, n in pattern.items()))
-            if whole and sum(int(sizes[k]) * n for k, n in pattern.items()) >= 0.99 * capacity:
-                chosen.append((pattern, whole))
-                for k, n in pattern.items():
-                    left[k] -= n * whole
-        rest = np.flatnonzero(left)
-        chosen += [({int(rest[k]): n for k, n in pattern.items()}, times) for pattern, times in best_fit_decreasing(sizes[rest], left[rest], capacity)]
-    return [({int(sizes[k]): n for k, n in pattern.items()}, times) for pattern, times in chosen]
+    left, chosen, used, bound, rng = counts.copy(), [], 0, 0.0, np.random.default_rng(seed)
+
+    def rest() -> list[tuple[dict[int, int], int]]:
+        open_ = np.flatnonzero(left)
+        return [({int(open_[k]): n for k, n in pattern.items()}, times) for pattern, times in best_fit_decreasing(sizes[open_], left[open_], capacity)]
+
+    alone = placed = rest() if len(sizes) else []
+    for level in range(levels):
+        open_ = np.flatnonzero(left)
+        if not len(open_) or level and used + sum(t for _, t in placed) <= math.ceil(bound - 1e-6):
+            break
+        solved, least = fractional(sizes[open_], left[open_], capacity, rounds)
+        bound = bound if level else least
+        fills = {p: sum(int(sizes[open_[k]]) * n for k, n in p) for p in solved}
+        full, before = max(fills.values()), used
+        every = [p for p in solved if fills[p] >= 0.995 * full]
+        for i in rng.permutation(len(every)):
+            times = min(int(solved[every[i]] + rng.random()), *(int(left[open_[k]]) // n for k, n in every[i]))
+            if times:
+                chosen.append(({int(open_[k]): n for k, n in every[i]}, times))
+                used += times
+                for k, n in every[i]:
+                    left[open_[k]] -= n * times
+        placed = rest()
+        if used == before:
+            break
+    if sum(t for _, t in alone) < used + sum(t for _, t in placed):
+        chosen, placed = [], alone
+    return [({int(sizes[k]): n for k, n in pattern.items()}, times) for pattern, times in chosen + placed]
 
 
 def slots(chosen: list[tuple[dict[int, int], int]], span: int) -> dict[str, np.ndarray]:
@@ -167,15 +228,13 @@ def slots(chosen: list[tuple[dict[int, int], int]], span: int) -> dict[str, np.n
     return {"key": rows[:, 0], "sequence": rows[:, 1], "offset": rows[:, 2]}
 
 
-def numbered(pieces: DataFrame, most: int, keys: list[str]) -> DataFrame:
-    """pieces with `number`: 0, 1, ... within each length. A length's rows are split by a hash, numbered apart and shifted."""
-    parts = max(1, -(-most // NUMBERED_TOGETHER))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
-    each = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    shift = each.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    order = Window.partitionBy("length", "_salt").orderBy(*keys)
-    return salted.withColumn("_k", F.row_number().over(order) - 1).join(shift, ["length", "_salt"]).withColumn("number", F.col("_k") + F.col("_shift")).drop("_salt", "_k", "_shift")
+def numbered(pieces: DataFrame) -> DataFrame:
+    """pieces with `number`: 0, 1, ... within each length. Tasks numbered their own pieces when they cut them; the numbers
+    of a task and length are shifted by the pieces of that length of the tasks before it. No key has more rows than a task."""
+    each = pieces.groupBy("part", "length").agg((F.max("local") + 1).alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = each.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    return pieces.join(shift, ["part", "length"]).withColumn("number", F.col("local") + F.col("shift"))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,8 +254,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, key:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *done], [*names, "sequence_id", "offset"])
 
     names = [key, "piece", "start", "length", "ids_crc32"]
-    kind = docs.schema[key].dataType.simpleString()
-    return numbered(pieces, most, [key, "piece", "ids_crc32"]).select(*names, "number").mapInArrow(place, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered(pieces).select(*map(named, names), "number").mapInArrow(place, with_made(docs, [key], f"{PIECE}, sequence_id long, offset long"))
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,6 @@ other; rows that repeat an id don't remove each other's bytes. Texts of any leng
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.common import named, new_path, table, text_bytes, with_made, written
+from evspark.llm.common import Chunks, named, new_path, table, text_bytes, tidy, with_made, written
 from evspark.llm.shingles import _BASE, _INVERSE, _power, mix, texts_of
 
 #: Bytes of the string whose hash triggers.
 SEED = 16
 #: Text bytes of a chunk, and of a part of the dictionary, about.
-CHUNK_BYTES, PART_BYTES = 5 << 20, 8 << 20
+CHUNK_BYTES, PART_BYTES = 2 << 20, 8 << 20
 #: Text bytes that are hashed at a time.
 BLOCK = 1 << 18
 
@@ -71,27 +70,6 @@ def deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
-class Chunks:
-    """The chunk files of a folder that all executors reach."""
-
-    def __init__(self, folder: str):
-        from pyarrow.fs import FileSystem
-
-        self.files, self.path = FileSystem.from_uri(folder)
-
-    def write(self, rows: list[pa.RecordBatch], schema: pa.Schema) -> int:
-        chunk = uuid.uuid4().int >> 65
-        self.files.create_dir(self.path, recursive=True)
-        with self.files.open_output_stream(f"{self.path}/{chunk}.arrow") as out, pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-            for x in rows:
-                stream.write_batch(x)
-        return chunk
-
-    def read(self, chunk: int) -> pa.Table:
-        with self.files.open_input_stream(f"{self.path}/{chunk}.arrow") as f:
-            return pa.ipc.open_stream(f).read_all().combine_chunks()
-
-
 def order_of(ids: pa.Array) -> np.ndarray:
     return ids.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
 
@@ -317,6 +295,7 @@ def ask_phrases(chunks: DataFrame, folder: str, parts: int, least: int, key: str
                 rows = Chunk(folder, chunk, parts, least, key, text).phrases.sent(chunk, True)
                 for a in range(0, len(rows), 64):
                     yield routed(rows[a : a + 64])
+        tidy()
 
     return chunks.mapInArrow(ask, ROUTED)
 
@@ -324,13 +303,19 @@ def ask_phrases(chunks: DataFrame, folder: str, parts: int, least: int, key: str
 def ask_halves(known: pa.Table, folder: str, parts: int, least: int, key: str, text: str) -> pa.Table:
     number = known.column("chunk")[0].as_py()
     chunk = Chunk(folder, number, parts, least, key, text)
-    return pa.Table.from_batches([routed(chunk.halves(chunk.copies(answers_of(known)))[1].sent(number, False))])
+    rows = chunk.halves(chunk.copies(answers_of(known)))[1].sent(number, False)
+    del chunk
+    tidy()
+    return pa.Table.from_batches([routed(rows)])
 
 
 def ask_strings(known: pa.Table, folder: str, parts: int, least: int, key: str, text: str) -> pa.Table:
     number, answers = known.column("chunk")[0].as_py(), answers_of(known)
     chunk = Chunk(folder, number, parts, least, key, text)
-    return pa.Table.from_batches([routed(chunk.strings(chunk.asked(chunk.copies(answers), answers))[2].sent(number, True))])
+    rows = chunk.strings(chunk.asked(chunk.copies(answers), answers))[2].sent(number, True)
+    del chunk
+    tidy()
+    return pa.Table.from_batches([routed(rows)])
 
 
 def answer(part: pa.Table, kind: int) -> pa.Table:

@@ -17,7 +17,7 @@ import numpy as np
 #: Longest piece that is kept in a cache; longer ones are encoded again each time.
 LONGEST = 64
 #: Entries that a generation of a worker's cache holds; the one before it is kept too, and what is used moves on.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 
 _LETTERS = "a-zªµºß-öø-ɏ"
 _WIDE = re.compile("[^\x00-ɏ]")

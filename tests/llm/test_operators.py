@@ -354,3 +354,89 @@ def test_licenses(spark, none):
     assert got[1, "MIT"] == (1.0, 1) and got[2, "Apache-2.0"] == (1.0, 0) and got[3, "GPL-3.0"] == (1.0, 0) and got[3, "GPL-2.0"][0] == 0.875
     assert {k for k, _ in got} == {1, 2, 3}
     assert licenses.license_matches(none).count() == 0
+
+
+def test_top_k_prunes_over_blocks_of_queries(spark, monkeypatch):
+    """More candidates than are compared at a time and several blocks of queries; clustered vectors, so that bounds tell."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 40)
+    rng = np.random.default_rng(3)
+    centers = rng.normal(0, 1, (12, 32))
+    x = centers[rng.integers(0, 12, 4000)] + rng.normal(0, 0.15, (4000, 32))
+    rows = [(i, v.tolist(), "extra") for i, v in enumerate(x)] + [(77, x[77].tolist(), "again"), (50, x[50].tolist(), "again")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vectors.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    ids, ints = np.array([r[0] for r in rows]), np.floor(256 * np.array([r[1] for r in rows]))
+    want = []
+    for q in range(0, 4000, 50):
+        score = ints @ ints[q]
+        order = [c for c in np.lexsort((ids, -score)) if ids[c] != q][:5]
+        want += [(q, n + 1, int(ids[c]), int(score[c])) for n, c in enumerate(order)]
+    assert got == sorted(want)
+
+    queries, turn = ints[::50][:80], vectors.axes(ints[:1024])
+    best = vectors.Best(ids[::50][:80], queries, 5, (4, 16), turn, vectors.floors(ids[::50][:80], queries, (ids[:1024], ints[:1024]), 5))
+    for at in range(0, len(ids), vectors.CANDIDATES):
+        best.add(ids[at : at + vectors.CANDIDATES], ints[at : at + vectors.CANDIDATES])
+    assert best.left[1] < best.left[0] < best.pairs and best.left[1] < 0.3 * best.pairs
+
+
+def test_plan_of_triplets_is_near_the_optimum():
+    rng = random.Random(1)
+    histogram = {}
+    for _ in range(2000):  # three pieces fill a sequence each, so 2000 sequences are enough
+        a, b = rng.randrange(1100, 1700), rng.randrange(1100, 1500)
+        for n in (a, b, 4096 - a - b):
+            histogram[n] = histogram.get(n, 0) + 1
+    chosen = packing.plan(histogram, 4096)
+    assert sum(times for _, times in chosen) <= 2020
+    held = {}
+    for pattern, times in chosen:
+        assert sum(k * n for k, n in pattern.items()) <= 4096
+        for k, n in pattern.items():
+            held[k] = held.get(k, 0) + n * times
+    assert held == histogram
+
+
+def test_near_duplicates_by_ids_that_repeat(spark):
+    rng = random.Random(8)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, a), (2, b), (9, a), (9, b), (4, c), (4, a + " two more"), (9, None), (6, ""), (6, "  "), (5, c), (5, c), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_duplicates.near_duplicates(docs, width=2).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 1, True), (2, 1, False), (9, 1, False), (9, 1, False), (4, 1, False), (4, 1, False), (9, 1, False), (6, 6, True), (6, 6, True), (5, 1, False), (5, 1, False), (None, 1, False)]))
+
+
+def test_sketches_lose_no_link_of_large_sets(spark):
+    """Pairs just similar enough, of more shingles than a sketch samples, pass; unlike ones don't."""
+    rng = np.random.default_rng(11)
+    pairs, similar = [], []
+    for n in range(400):
+        size, ratio = int(rng.integers(600, 9000)), rng.uniform(0.8, 1.0)
+        want = 0.8 if n % 2 else 0.45
+        small = int(size * max(ratio, want))
+        common = int(np.ceil(want * (size + small) / (1 + want)))
+        common = min(common, small)
+        both = rng.integers(0, 1 << 63, size + small - common, dtype=np.uint64)
+        x, y = np.unique(both[:size]), np.unique(both[size - common :])
+        pairs.append((vectors_of(x), len(x), vectors_of(y), len(y)))
+        similar.append(100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)))
+    df = spark.createDataFrame(pairs, "sa array<long>, na long, sb array<long>, nb long")
+    passed = [r.ok for r in df.select(near_duplicates.may_link("sa", "na", "sb", "nb", 80).alias("ok")).collect()]
+    assert sum(similar) > 150 and all(ok for ok, s in zip(passed, similar) if s)
+    assert sum(ok for ok, s in zip(passed, similar) if not s) < 0.1 * sum(not s for s in similar)
+
+
+def vectors_of(shingles):
+    return near_duplicates.odd_sketch(shingles).tolist()
+
+
+def test_family_without_its_origin_is_linked_exactly(spark):
+    """Copies of one text changed at random, most of them not similar enough to one another: buckets hold many components."""
+    rng = random.Random(6)
+    base = sentence(rng, 150).split()
+    rows = [(i, " ".join(w if rng.random() > 0.01 * (i % 9) else f"e{i}x{k}" for k, w in enumerate(base))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs, width=2).collect()}
+    name, _, group = brute_components(docs, 2, 80)
+    assert got == {i: min(n for n, h in zip(name, group) if h == g) for i, g in zip(name, group)}
+    assert len(set(got.values())) > 5
