@@ -165,12 +165,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     first = signed.filter("n_shingles > 0 AND id IS NOT NULL").join(roots.select("class", F.col("node").alias("id")), ["class", "id"])
     nodes = written(first.dropDuplicates(["class"]).withColumnRenamed("id", "node"), "nodes")
     banded = nodes.select("class", "node", F.explode("bands").alias("key"))
-    pivots = banded.groupBy("key").agg(F.min(F.struct("node", "class")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("p.class").alias("pivot"))
+    pivots = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot")
     shared = written(banded.join(pivots, "key"), "buckets")
     plain = docs.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("class"), text)
     texts = written(packed_texts(plain, shared.select(F.col("node").alias("id"), "class").distinct(), text), "texts")
 
-    links = confirmed(shared.filter("class <> pivot").select(F.col("class").alias("ca"), F.col("pivot").alias("cb")).distinct(), nodes, texts, width, percent)
+    to_pivot = shared.filter("node <> pivot").select(F.col("class").alias("ca"), "pivot").distinct().join(nodes.select(F.col("node").alias("pivot"), F.col("class").alias("cb")), "pivot")
+    links = confirmed(to_pivot.select("ca", "cb"), nodes, texts, width, percent)
     several = signed.filter("id IS NOT NULL").groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("id")
     several = written(several, "several")
     repeated = not several.isEmpty()

@@ -46,7 +46,7 @@ SEED = 16
 #: Text bytes of a chunk, and of a part of the dictionary, about.
 CHUNK_BYTES, PART_BYTES = 2 << 20, 8 << 20
 #: Text bytes that are hashed at a time.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 
 _LAST = np.iinfo(np.int64).max
 ROUTED = "part long, chunk long, data binary"
@@ -141,7 +141,7 @@ class Parse:
         number[self.at[asked]] = np.flatnonzero(asked)
         start = np.flatnonzero(self.valid & (number[owner] >= 0))
         k = number[owner[start]]
-        return self.trigger[k], mix(self.of(start, start + self.least)), self.text[k], start - self.cuts[self.text[k]]
+        return self.trigger[k], self.of(start, start + self.least), self.text[k], start - self.cuts[self.text[k]]
 
 
 def copied(docs: DataFrame, folder: str, text: str) -> DataFrame:
@@ -179,31 +179,36 @@ def spread(first: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(first, n)))
 
 
-def dealt(key: np.ndarray, trigger: np.ndarray, parts: int) -> np.ndarray:
-    """Parts of keys by their own hash; the trigger, which equal keys share, adds bits to the key."""
-    return (mix(key ^ mix(trigger)) % np.uint64(parts)).astype(np.int64)
+def keyed(key: np.ndarray, trigger: np.ndarray) -> np.ndarray:
+    """Keys by their own hash; the trigger, which equal keys share, adds bits to the key."""
+    return mix(key ^ mix(trigger))
 
 
 class Keys:
-    """The distinct keys of a chunk by part and smallest document, and which of them each occurrence has."""
+    """The distinct keys of a chunk by part and smallest document, and which of them each occurrence has.
 
-    def __init__(self, part: np.ndarray, key: np.ndarray, doc: np.ndarray):
-        order = np.lexsort((doc, key, part))
-        first = runs(part[order], key[order])
+    Keys are hashes that fill all 64 bits: their order deals them to parts, so one sort serves both."""
+
+    def __init__(self, key: np.ndarray, doc: np.ndarray, parts: int):
+        order = np.lexsort((doc, key))
+        first = runs(key[order])
+        size = np.diff(np.append(first, len(order)))
         found = order[first]
-        by = np.lexsort((key[found], doc[found], part[found]))
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
-        self.part, self.key, self.doc = part[found][by], key[found][by], doc[found][by]
-        self.of = np.empty(len(doc), np.int64)
-        self.of[order] = spread(first, place, len(doc))
+        name, least = key[found], doc[found]
+        part = ((name >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        by = np.lexsort((name, least, part))
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by), dtype=np.int32)
+        self.part, self.key, self.doc = part[by], name[by], least[by]
+        self.of = np.empty(len(doc), np.int32)
+        self.of[order] = np.repeat(place, size)
         #: occurrences in a later document of the chunk than the key's smallest
         self.later = doc > self.doc[self.of]
         begin = runs(self.part)
         self.cuts = list(zip(begin.tolist(), np.append(begin[1:], len(by)).astype(np.int64).tolist()))
 
     def sent(self, chunk: int, with_doc: bool) -> list[tuple[int, int, bytes]]:
-        return [(int(self.part[a]), chunk, pack(self.key[a:b], deltas(self.doc[a:b])) if with_doc else pack(self.key[a:b])) for a, b in self.cuts]
+        return [(int(self.part[a]), chunk, pack(self.key[a:b], deltas(self.doc[a:b])) if with_doc else pack(self.key[a:b].astype(np.uint32))) for a, b in self.cuts]
 
     def answered(self, answers: dict[int, bytes]) -> np.ndarray:
         """The answer for each occurrence."""
@@ -231,11 +236,12 @@ class Chunk:
         found = []
         for at, to in self.blocks:
             p = self.parse(at, to)
-            found.append((p.trigger, p.phrase, p.right, p.left, p.text + at, p.place))
+            found.append((p.trigger, p.phrase, p.right, p.left, (p.text + at).astype(np.int32), p.place.astype(np.int32)))
         self.n = [len(x[0]) for x in found]
         self.trigger, self.phrase, self.right, self.left, self.row, self.place = (np.concatenate(x) for x in zip(*found))
         self.doc = self.order[self.row]
-        self.phrases = Keys(dealt(self.phrase, self.trigger, parts), self.phrase, self.doc)
+        self.phrases = Keys(keyed(self.phrase, self.trigger), self.doc, parts)
+        del self.phrase, self.trigger
 
     def parse(self, at: int, to: int) -> Parse:
         return Parse(self.data[self.cuts[at] : self.cuts[to]], self.cuts[at : to + 1] - self.cuts[at], self.least)
@@ -249,7 +255,7 @@ class Chunk:
         side = np.concatenate([self.right[own], self.left[own]])
         some = np.flatnonzero(side)
         at, side = np.concatenate([own, own])[some], side[some]
-        return at, Keys((mix(side) % np.uint64(self.parts)).astype(np.int64), (side >> np.uint64(32)).astype(np.uint32), self.doc[at])
+        return at, Keys(mix(side), self.doc[at], self.parts)
 
     def asked(self, copies: np.ndarray, answers: dict[int, dict[int, bytes]]) -> np.ndarray:
         """Which phrases may share a string with another document's: they share a half."""
@@ -266,11 +272,12 @@ class Chunk:
         for (at, to), k in zip(self.blocks, self.n):
             if asked[n : n + k].any():
                 trigger, key, of, place = self.parse(at, to).strings(asked[n : n + k])
-                found.append((trigger, key, of + at, place))
+                found.append((keyed(key, trigger), (of + at).astype(np.int32), place.astype(np.int32)))
             n += k
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        trigger, key, row, place = (np.concatenate(x) for x in zip(none, *found))
-        return row, place, Keys(dealt(key, trigger, 2 * self.parts), key, self.order[row])
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        key, row, place = (np.concatenate(x) for x in zip(none, *found))
+        del found
+        return row, place, Keys(key, self.order[row], 2 * self.parts)
 
 
 #: What an answer is about.
@@ -348,7 +355,7 @@ def removed_bytes(known: pa.Table, folder: str, parts: int, least: int, key: str
     copies = chunk.copies(answers)
     row, place, strings = chunk.strings(chunk.asked(copies, answers))
     later = strings.later | strings.answered(answers.get(STRINGS, {}))
-    for row, a, b in ((chunk.row[copies], chunk.place[copies] - (least - SEED), chunk.place[copies] + least), (row[later], place[later], place[later] + least)):
+    for row, a, b in ((chunk.row[copies], chunk.place[copies].astype(np.int64) - (least - SEED), chunk.place[copies].astype(np.int64) + least), (row[later], place[later].astype(np.int64), place[later].astype(np.int64) + least)):
         a, b = np.maximum(a, 0) + cuts[row], np.minimum(b, size[row]) + cuts[row]
         np.add.at(change, a, 1)
         np.add.at(change, b, -1)
@@ -368,7 +375,10 @@ def removed_bytes(known: pa.Table, folder: str, parts: int, least: int, key: str
         "n_bytes": pa.array(size), "n_removed": pa.array(gone_to[cuts[1:]] - gone_to[cuts[:-1]]), "n_spans": pa.array(begins_to[cuts[1:]] - begins_to[cuts[:-1]]),
         "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left]), "kept_text": pa.array([x.decode() for x in whole]),
     }
-    return pa.Table.from_arrays([*(column(rows, c) for c in keep), *(x.cast(pa.int64()) if c.startswith("n_") else x for c, x in made.items())], [*keep, *made])
+    kept = [column(rows, c) for c in keep]
+    del chunk, rows, strings, row, place, later, copies, change, gone, begins, left, whole
+    tidy()
+    return pa.Table.from_arrays([*kept, *(x.cast(pa.int64()) if c.startswith("n_") else x for c, x in made.items())], [*keep, *made])
 
 
 def without_repeats(docs: DataFrame, least: int = 50, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
