@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that carry no content.
@@ -63,7 +63,8 @@ def stem(word: Column) -> Column:
 def identifier_parts(word: Column) -> Column:
     """lowerBound_idx -> lower, bound, idx."""
     spaced = F.trim(F.translate(F.regexp_replace(word, "([a-z0-9])([A-Z])", "$1 $2"), "_", " "))
-    return F.when(spaced == "", F.array(F.lower(word))).otherwise(F.split(F.lower(spaced), " +"))
+    plain = ~word.rlike("_|[a-z0-9][A-Z]")  # most words have one part
+    return F.when(plain | (spaced == ""), F.array(F.lower(word))).otherwise(F.split(F.lower(spaced), " +"))
 
 
 def prose_tokens(text: Column, stemmed: bool = True, keep_stopwords: bool = False) -> Column:
@@ -74,6 +75,16 @@ def prose_tokens(text: Column, stemmed: bool = True, keep_stopwords: bool = Fals
     return F.transform(kept, stem) if stemmed else kept
 
 
+def exploded_terms(rows: DataFrame, text: str, stemmed: bool = True) -> DataFrame:
+    """A row for each term of prose_tokens, as `term` beside the other columns. Words are exploded first, so that parts and
+    stems are plain expressions of a row, in generated code, rather than of an array's elements."""
+    others = [c for c in rows.columns if c != text]
+    words = rows.select(*others, F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))).alias("word"))
+    parts = words.select(*others, F.explode(identifier_parts(F.col("word"))).alias("part"))
+    kept = parts.filter(((F.length("part") >= 2) | F.col("part").rlike("^[0-9]+$")) & ~F.col("part").isin(STOPWORDS))
+    return kept.select(*others, (stem(F.col("part")) if stemmed else F.col("part")).alias("term"))
+
+
 def sentences(text: Column) -> Column:
     """Trimmed sentences of more than two characters, cut after . ! ? before a capital or bracket, and at blank lines."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])\s+([A-Z(\[])", "$1\u0001$2")
@@ -131,3 +142,11 @@ def kgram_hashes(tokens: Column, k: int) -> Column:
         return F.when(F.size(own) == 0, F.array().cast("array<string>")).when(F.size(own) < k, F.array(F.md5(F.array_join(own, "\x1f")))).otherwise(joined)
 
     return let(tokens, of)
+
+
+def truncated(text: Column, width: int, ellipsis: str = "…") -> Column:
+    """The text, cut to width characters with an ellipsis if it is longer."""
+    if width <= len(ellipsis):
+        return F.substring(text, 1, width)
+    cut = F.regexp_replace(F.substring(text, 1, width - len(ellipsis)), r"\s+$", "")
+    return F.when(F.length(text) <= width, text).otherwise(F.concat(cut, F.lit(ellipsis)))

@@ -30,6 +30,15 @@ def dempster(masses: DataFrame, group: str, source: str, hypothesis: str) -> Dat
     return q.select(group, hypothesis, ((F.col("q") - F.col("t")) / z).alias("belief"), (F.col("t") / z).alias("theta"))
 
 
+def ranked(beliefs: DataFrame, group: str, hypothesis: str) -> DataFrame:
+    """beliefs of dempster with plausibility (belief and theta), pignistic (theta split evenly over the group's hypotheses)
+    and rank by belief, then by hypothesis."""
+    own = Window.partitionBy(group)
+    share = F.col("theta") / F.count("*").over(own)
+    made = {"plausibility": F.col("belief") + F.col("theta"), "pignistic": F.col("belief") + share, "rank": F.row_number().over(own.orderBy(F.desc(F.round("belief", 9)), hypothesis))}
+    return beliefs.withColumns(made)
+
+
 def combined(scores: DataFrame, keys: list[str], score: Column) -> DataFrame:
     """The largest, mean and noisy-or of the scores of each key."""
     return scores.groupBy(*keys).agg(F.max(score).alias("largest"), F.avg(score).alias("mean"), (1 - F.product(1 - score)).alias("noisy_or"))

@@ -1,22 +1,22 @@
-"""Retrieval: BM25, tf-idf cosine, reciprocal rank fusion, diverse selection, evidence within a budget."""
+"""Retrieval: BM25, tf-idf cosine, reciprocal rank fusion, query expansion, unknown vocabulary, evidence within a budget."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evspark.functions.text import prose_tokens
+from evspark.functions.text import exploded_terms
+from evspark.sources.stored import stored
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, term, tf, of every term of every document."""
-    terms = docs.select(F.col(key).alias("doc"), F.explode(prose_tokens(F.col(text))).alias("term"))
-    return terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    return exploded_terms(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "text").groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
-def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, dl (terms) of every document, empty ones too."""
-    return docs.select(F.col(key).alias("doc"), F.size(prose_tokens(F.col(text))).cast("long").alias("dl"))
+def indexed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """postings as a written table, so that several rankings read the texts once."""
+    return stored(postings(docs, key, text), "postings")
 
 
 def bm25_idf(posting: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -31,24 +31,25 @@ def top_ranked(scored: DataFrame, k: int, group: str = "query", item: str = "doc
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, doc_key: str, doc_text: str, k1: float = 1.35, b: float = 0.72) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, doc_key: str, doc_text: str, k1: float = 1.35, b: float = 0.72, index: DataFrame | None = None) -> DataFrame:
     """query, doc, score of documents that share a term with the query; a term that a query repeats counts once.
 
-    Only postings of query terms are joined on; document lengths meet them by doc, one row for each.
+    Only postings of query terms are weighed; document lengths are sums over the same written postings (index).
     """
-    wanted = queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct(prose_tokens(F.col(query_text)))).alias("term"))
-    known = postings(docs, doc_key, doc_text).join(wanted.select("term").distinct(), "term", "left_semi")
-    sized = lengths(docs, doc_key, doc_text)
-    total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    idf = bm25_idf(known, total)
-    weighed = known.join(idf, "term").join(sized, "doc").join(F.broadcast(total), how="cross")
+    index = indexed(docs, doc_key, doc_text) if index is None else index
+    wanted = exploded_terms(queries.select(F.col(query_key).alias("query"), F.col(query_text).alias("text")), "text").distinct()
+    known = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    sized = index.groupBy("doc").agg(F.sum("tf").alias("dl"))
+    n, terms = docs.agg(F.count("*").alias("n")), index.agg(F.sum("tf").alias("terms"))  # one row each
+    total = n.join(terms, how="cross").select("n", (F.col("terms") / F.col("n")).alias("avgdl"))
+    weighed = known.join(bm25_idf(known, total), "term").join(sized, "doc").join(F.broadcast(total), how="cross")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return weighed.select("term", "doc", part.alias("part")).join(wanted, "term").groupBy("query", "doc").agg(F.sum("part").alias("score"))
 
 
-def tfidf_cosine(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, doc_key: str, doc_text: str) -> DataFrame:
+def tfidf_cosine(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, doc_key: str, doc_text: str, index: DataFrame | None = None) -> DataFrame:
     """query, doc, score: cosine of (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1) vectors; query terms no document has are dropped."""
-    known = postings(docs, doc_key, doc_text)
+    known = indexed(docs, doc_key, doc_text) if index is None else index
     n = docs.agg(F.count("*").alias("n"))  # one row
     idf = known.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n), how="cross").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
@@ -74,13 +75,33 @@ def reciprocal_rank_fusion(rankings: list[tuple[DataFrame, float]], k: int = 12)
     return every.groupBy("query", "doc").agg(F.sum("part").alias("score"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of two numeric arrays; 0 where one is (nearly) zero."""
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms < 1e-12, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
+def padded_trigrams(term: Column) -> Column:
+    """Distinct trigrams of $term$."""
+    padded = F.concat(F.lit("$"), term, F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+
+
+def expanded(terms: DataFrame, vocabulary: DataFrame, least: float = 0.45, best: int = 2, shortest: int = 5) -> DataFrame:
+    """query, term, candidate, similarity, rank: for each term (query, term) of `shortest` letters or more that vocabulary
+    (term, distinct) lacks, the `best` terms there by Jaccard similarity of padded trigrams, `least` at least."""
+    unknown = terms.filter(F.length("term") >= shortest).join(vocabulary, "term", "left_anti")
+    asked = unknown.select("term").distinct().withColumn("g", padded_trigrams(F.col("term")))
+    theirs = vocabulary.select(F.col("term").alias("candidate"), padded_trigrams(F.col("term")).alias("h"))
+    shared = asked.select("term", F.size("g").alias("n"), F.explode("g").alias("gram")).join(theirs.select("candidate", F.size("h").alias("m"), F.explode("h").alias("gram")), "gram")
+    counted = shared.groupBy("term", "candidate", "n", "m").agg(F.count("*").alias("c"))
+    similar = counted.select("term", "candidate", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("similarity")).filter(F.col("similarity") >= least)
+    order = Window.partitionBy("term").orderBy(F.desc("similarity"), "candidate")
+    chosen = similar.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
+    return unknown.select("query", "term").distinct().join(chosen, "term").select("query", "term", "candidate", "similarity", "rank")
+
+
+def unknown_vocabulary(terms: DataFrame, index: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """query, ratio: the share of a query's weight that terms no document has carry. Terms (query, term) are distinct and
+    weigh their idf; unknown ones weigh the most, ln(1 + (N + .5) / .5)."""
+    idf = bm25_idf(index.join(terms.select("term").distinct(), "term", "left_semi"), n_docs)
+    most = F.log(1 + (F.col("n") + 0.5) / 0.5)
+    weighed = terms.join(idf, "term", "left").join(F.broadcast(n_docs.select("n")), how="cross").withColumn("w", F.coalesce("idf", most))
+    return weighed.groupBy("query").agg((F.sum(F.when(F.col("idf").isNull(), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("ratio"))
 
 
 def within_budget(ranked: DataFrame, group: str, rank: str, size: Column, budget: int) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from evspark.sources.stored import stored
+
 
 def moments(rows: DataFrame, value: Column, first: Column, by: list[str] | None = None) -> DataFrame:
     """n, mean and variance of two samples in one pass: na, ma, va where `first`, nb, mb, vb elsewhere. Variances of one value are 0."""
@@ -44,11 +46,26 @@ def paired_t(pairs: DataFrame, x: Column, y: Column) -> DataFrame:
     return m.select("n", F.when(F.col("s") > 0, F.col("m") / (F.col("s") / F.sqrt("n"))).otherwise(0.0).alias("t"), (F.col("n") - 1).cast("double").alias("df"))
 
 
+def ranged(rows: DataFrame, *order: str) -> DataFrame:
+    """rows as a written table whose `_part` rises with the order: rows of a part are before those of the next. Equal
+    keys share a part, so keys should be distinct."""
+    return stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def with_sum_before(rows: DataFrame, by: list[str], value: str, n: str) -> DataFrame:
+    """rows, distinct by group and value, with `before`: the sum of n over a group's smaller values. Sums run within ranges
+    and are shifted by the sums of the ranges before, so no task holds a whole group."""
+    parts = ranged(rows, *by, value)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = parts.groupBy(*by, "_part").agg(F.sum(n).alias("_sum")).withColumn("_shift", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(shift, [*by, "_part"]).withColumn("before", F.col("_in") + F.col("_shift")).drop("_in", "_shift", "_part")
+
+
 def mid_ranks(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Each distinct value of a group with its count (k) and mid-rank. Ranks come from running sums over distinct values, so ties need no sort of all rows."""
+    """Each distinct value of a group with its count (k) and mid-rank, from running sums over distinct values."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("k"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("mid_rank", F.coalesce(F.sum("k").over(before), F.lit(0)) + (F.col("k") + 1) / 2)
+    return with_sum_before(counts, by, value, "k").withColumn("mid_rank", F.col("before") + (F.col("k") + 1) / 2).drop("before")
 
 
 def mann_whitney(rows: DataFrame, value: str, first: str, by: list[str]) -> DataFrame:
@@ -115,27 +132,76 @@ def multilabel(gold: DataFrame, predicted: DataFrame, item: str, label: str) ->
     return each.withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
 
 
+def ranked_tests(tests: DataFrame, p: str, label: str) -> DataFrame:
+    """tests, distinct by p and label, with n (all of them) and rank, numbered range by range; _part is the range."""
+    parts = ranged(tests, p, label)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    every = Window.partitionBy(F.lit(0))
+    sizes = sizes.withColumns({"n": F.sum("_n").over(every), "_shift": F.coalesce(F.sum("_n").over(every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).drop("_n")
+    return parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(p, label))).join(F.broadcast(sizes), "_part").withColumn("rank", (F.col("_k") + F.col("_shift")).cast("int")).drop("_k", "_shift")
+
+
 def holm(tests: DataFrame, p: str, label: str) -> DataFrame:
-    """Step-down adjusted p-values: the running maximum of (n - rank + 1) p. One test a row: few rows."""
-    order = Window.orderBy(p, label)
-    ranked = tests.withColumns({"n": F.count("*").over(Window.partitionBy()), "rank": F.row_number().over(order)})
-    return ranked.withColumn("adjusted", F.least(F.lit(1.0), F.max((F.col("n") - F.col("rank") + 1) * F.col(p)).over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("n")
+    """Step-down adjusted p-values: the running maximum of (n - rank + 1) p, over ranges and then within them."""
+    rows = ranked_tests(tests, p, label).withColumn("_v", (F.col("n") - F.col("rank") + 1) * F.col(p))
+    tops = rows.groupBy("_part").agg(F.max("_v").alias("_top")).withColumn("_top", F.max("_top").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = F.max("_v").over(Window.partitionBy("_part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_in", inside).join(F.broadcast(tops), "_part").withColumn("adjusted", F.least(F.lit(1.0), F.greatest("_in", "_top"))).drop("n", "_v", "_in", "_top", "_part")
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, label: str) -> DataFrame:
-    """Step-up adjusted p-values: the running minimum, from the largest on, of n p / rank."""
-    order = Window.orderBy(p, label)
-    ranked = tests.withColumns({"n": F.count("*").over(Window.partitionBy()), "rank": F.row_number().over(order)})
-    return ranked.withColumn("adjusted", F.least(F.lit(1.0), F.min(F.col("n") * F.col(p) / F.col("rank")).over(order.rowsBetween(0, Window.unboundedFollowing)))).drop("n")
+    """Step-up adjusted p-values: the running minimum, from the largest on, of n p / rank, over ranges and then within them."""
+    rows = ranked_tests(tests, p, label).withColumn("_v", F.col("n") * F.col(p) / F.col("rank"))
+    lows = rows.groupBy("_part").agg(F.min("_v").alias("_low")).withColumn("_low", F.min("_low").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)))
+    inside = F.min("_v").over(Window.partitionBy("_part").orderBy("rank").rowsBetween(0, Window.unboundedFollowing))
+    return rows.withColumn("_in", inside).join(F.broadcast(lows), "_part").withColumn("adjusted", F.least(F.lit(1.0), F.least("_in", "_low"))).drop("n", "_v", "_in", "_low", "_part")
 
 
 def lower_quantiles(rows: DataFrame, value: str, by: str, quantiles: tuple[float, ...]) -> DataFrame:
     """by, q, value at index floor(q (n - 1)), by ranks of distinct values."""
     counts = rows.groupBy(by, value).agg(F.count("*").alias("k"))
-    upto = counts.withColumn("to", F.sum("k").over(Window.partitionBy(by).orderBy(value))).withColumn("n", F.sum("k").over(Window.partitionBy(by)))
-    asked = upto.withColumn("q", F.explode(F.array(*map(F.lit, quantiles))))
+    sizes = counts.groupBy(by).agg(F.sum("k").alias("n"))
+    asked = with_sum_before(counts, [by], value, "k").join(sizes, by).withColumn("q", F.explode(F.array(*map(F.lit, quantiles))))
     index = F.floor(F.col("q") * (F.col("n") - 1))
-    return asked.filter((index < F.col("to")) & (index >= F.col("to") - F.col("k"))).select(by, "q", F.col(value).alias("value"))
+    return asked.filter((index < F.col("before") + F.col("k")) & (index >= F.col("before"))).select(by, "q", F.col(value).alias("value"))
+
+
+def zscores(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """rows with z: the value's distance from its group's mean in population deviations; 0 where the group hardly varies."""
+    m = rows.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    return rows.join(m, by).withColumn("z", F.when(F.col("_s") < 1e-9, 0.0).otherwise((F.col(value) - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
+
+
+def histogram(rows: DataFrame, by: list[str], value: str, bins: int = 12) -> DataFrame:
+    """by, bin, n of each bin of equal width between a group's least and largest value; one bin where those are equal."""
+    ends = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = F.col("_hi") - F.col("_lo")
+    index = F.when(width <= 1e-12, 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / width * bins))).cast("int")
+    return rows.filter(F.col(value).isNotNull()).join(ends, by).groupBy(*by, index.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def magnitude(effect: Column, bands: tuple[float, float, float]) -> Column:
+    """negligible, small, medium or large, by the three limits."""
+    size = F.abs(effect)
+    return F.when(size < bands[0], "negligible").when(size < bands[1], "small").when(size < bands[2], "medium").otherwise("large")
+
+
+#: Limits of the words for Cohen's d and for Cliff's delta.
+D_BANDS, DELTA_BANDS = (0.2, 0.5, 0.8), (0.147, 0.33, 0.474)
+
+
+def multilabel_totals(gold: DataFrame, predicted: DataFrame, item: str, label: str) -> DataFrame:
+    """n, exact, hamming, precision, recall, micro_f1 and macro_f1 (over labels that gold has) over all items; both are
+    distinct (item, label), and items are those of either."""
+    joined = gold.withColumn("g", F.lit(1)).join(predicted.withColumn("p", F.lit(1)), [item, label], "full")
+    wrong = F.col("g").isNull() | F.col("p").isNull()
+    items = joined.groupBy(item).agg(F.count(F.when(wrong, 1)).alias("wrong"))
+    of_items = items.agg(F.count("*").alias("n"), F.avg((F.col("wrong") == 0).cast("double")).alias("exact"), F.avg("wrong").alias("off"))
+    each = multilabel(gold, predicted, item, label)
+    labels = each.filter(F.col(label) != "*")
+    of_labels = labels.agg(F.count("*").alias("labels"), F.avg(F.when(F.col("tp") + F.col("fn") > 0, F.col("f1"))).alias("macro_f1"))
+    m = each.filter(F.col(label) == "*").join(of_items, how="cross").join(of_labels, how="cross")  # one row each
+    return m.select("n", "exact", (1 - F.col("off") / F.col("labels")).alias("hamming"), F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"), F.col("f1").alias("micro_f1"), "macro_f1")
 
 
 def required_n(d: Column, alpha: float = 0.05, power: float = 0.8) -> Column:

@@ -78,8 +78,8 @@ def bm25_idf(spark, d):
     return R.bm25_idf(R.postings(docs, "doc_id", "text"), docs.agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _bm25(spark, d):
-    return R.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text")
+def _bm25(spark, d, index=None):
+    return R.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text", index=index)
 
 
 @query("bm25_top10", f"WITH {POSTINGS}, {QTERMS}, {BM25} SELECT query AS item_id, CAST(rank AS INTEGER) AS rank, doc AS doc_id, round(score, 6) AS score FROM bmr WHERE rank <= 10")
@@ -95,8 +95,8 @@ co AS (SELECT qv.query, dv.doc, sum(qv.w * dv.w) / (any_value(qn.n) * any_value(
 cor AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM co)"""
 
 
-def _cosine(spark, d):
-    return R.tfidf_cosine(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text")
+def _cosine(spark, d, index=None):
+    return R.tfidf_cosine(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text", index=index)
 
 
 @query("tfidf_cosine_top5", f"WITH {POSTINGS}, {COSINE} SELECT query AS item_id, CAST(rank AS INTEGER) AS rank, doc AS doc_id, round(score, 6) AS score FROM cor WHERE rank <= 5")
@@ -107,7 +107,8 @@ def tfidf_cosine_top5(spark, d):
 @query("rrf_fused", f"""WITH {POSTINGS}, {QTERMS}, {BM25}, {COSINE}, f AS (SELECT query, doc, sum(part) AS score FROM (SELECT query, doc, 1.0::DOUBLE / (12 + rank) AS part FROM bmr WHERE rank <= 24 UNION ALL SELECT query, doc, 0.9::DOUBLE / (12 + rank) FROM cor WHERE rank <= 24) GROUP BY ALL)
 SELECT query AS item_id, doc AS doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM f) WHERE rank <= 6""")
 def rrf_fused(spark, d):
-    fused = R.reciprocal_rank_fusion([(R.top_ranked(_bm25(spark, d), 24), 1.0), (R.top_ranked(_cosine(spark, d), 24), 0.9)])
+    index = R.indexed(table(spark, d, "documents"), "doc_id", "text")
+    fused = R.reciprocal_rank_fusion([(R.top_ranked(_bm25(spark, d, index), 24), 1.0), (R.top_ranked(_cosine(spark, d, index), 24), 0.9)])
     return R.top_ranked(fused, 6).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -151,3 +152,44 @@ def novelty_gate(spark, d):
     own = docs.join(table(spark, d, "labels").filter("quality = 0").select(F.col("doc_id").alias("id")), "id", "left_semi")
     scored = P.novelty(docs, P.fingerprints(table(spark, d, "benchmark"), "item_id", "text"), own)
     return scored.select(F.col("id").alias("doc_id"), F.round("ref", 6).alias("ref"), F.round("self", 6).alias("self"), F.round("score", 6).alias("score"), (F.col("score") > 0.18).alias("rejected"))
+
+
+def _turn_terms(spark, d):
+    turns = table(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("query"), "text")
+    return T.exploded_terms(turns, "text").distinct()
+
+
+TURN_TERMS = f"u AS (SELECT DISTINCT conv_id || '/' || turn AS query, unnest({duck.tokens('text')}) AS term FROM conversations)"
+
+
+@query("unknown_vocabulary", f"""WITH {POSTINGS}, {TURN_TERMS}, i AS (SELECT term, ln(1 + ((SELECT n FROM tot) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY term), w AS (SELECT query, idf, coalesce(idf, ln(1 + ((SELECT n FROM tot) + 0.5) / 0.5)) AS w FROM u LEFT JOIN i USING (term))
+SELECT query, round(sum(CASE WHEN idf IS NULL THEN w ELSE 0 END) / sum(w), 6) AS ratio FROM w GROUP BY query""")
+def unknown_vocabulary(spark, d):
+    docs = table(spark, d, "documents")
+    return R.unknown_vocabulary(_turn_terms(spark, d), R.indexed(docs, "doc_id", "text"), docs.agg(F.count("*").alias("n"))).withColumn("ratio", F.round("ratio", 6))
+
+
+PADDED = "list_distinct(list_transform(range(1, length(term) + 1), lambda i: substring('$' || term || '$', i, 3)))"
+
+
+@query("fuzzy_expansion", f"""WITH {POSTINGS}, {TURN_TERMS}, v AS (SELECT DISTINCT term FROM post), k AS (SELECT * FROM u WHERE length(term) >= 5 AND term NOT IN (SELECT term FROM v)),
+a AS (SELECT term, len(g) AS n, unnest(g) AS gram FROM (SELECT DISTINCT term, {PADDED} AS g FROM k)), b AS (SELECT term AS candidate, len(g) AS m, unnest(g) AS gram FROM (SELECT term, {PADDED} AS g FROM v)),
+s AS (SELECT term, candidate, CAST(count(*) AS DOUBLE) / (n + m - count(*)) AS similarity FROM a JOIN b USING (gram) GROUP BY term, candidate, n, m),
+r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY similarity DESC, candidate) AS rank FROM s WHERE similarity >= 0.45)
+SELECT query, term, candidate, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM k JOIN r USING (term) WHERE rank <= 2""")
+def fuzzy_expansion(spark, d):
+    vocabulary = T.exploded_terms(table(spark, d, "documents").select("text"), "text").distinct()
+    return R.expanded(_turn_terms(spark, d), vocabulary).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("truncated", "SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE rtrim(substring(text, 1, 39), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || '…' END AS short FROM documents")
+def truncated(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.truncated(F.col("text"), 40).alias("short"))
+
+
+@query("name_similarity", f"""WITH g AS (SELECT n_name, {duck.trigrams('n_name', 2)} AS g FROM nation) SELECT a.n_name AS a, b.n_name AS b, round(CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON a.n_name < b.n_name WHERE len(list_intersect(a.g, b.g)) > 0""")
+def name_similarity(spark, d):
+    g = table(spark, d, "nation").select("n_name", T.char_ngrams(F.col("n_name"), 2).alias("g"))
+    shared = g.select(F.col("n_name").alias("a"), F.size("g").alias("n"), F.explode("g").alias("gram")).join(g.select(F.col("n_name").alias("b"), F.size("g").alias("m"), F.explode("g").alias("gram")), "gram").filter("a < b")
+    counted = shared.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"))
+    return counted.select("a", "b", F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 6).alias("similarity"))

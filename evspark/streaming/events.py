@@ -6,7 +6,6 @@ is there and gives its result as a table, for tests and batch comparison.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from evspark.sources.stored import new_path
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of its files."""
@@ -25,11 +26,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """The result of a stream over all that is available now."""
-    name = f"drained_{uuid.uuid4().hex}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """The result of a stream over all that is available now, as a table in the shared folder, beside the query's progress.
+    A batch that runs again overwrites its own rows. In complete mode the last batch counts, else all rows do."""
+    spark, folder = stream.sparkSession, new_path(stream.sparkSession, "stream")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+    running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}-progress").foreachBatch(keep).trigger(availableNow=True).start()
     running.awaitTermination()
-    return stream.sparkSession.table(name)
+    done = [p["batchId"] for p in running.recentProgress]
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(folder)
+    return (rows.filter(F.col("batch") == max(done)) if mode == "complete" else rows).drop("batch")
 
 
 def tumbling(events: DataFrame, size: str) -> DataFrame:
