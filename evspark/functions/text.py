@@ -46,18 +46,21 @@ def british(word: Column) -> Column:
     return out
 
 
+def suffix_of(word: Column) -> Column:
+    """The longest suffix that leaves three letters; empty if there is none."""
+    return F.regexp_extract(word, f"^.{{3,}}?({'|'.join(SUFFIXES)})$", 1)
+
+
+def without(word: Column, suffix: Column) -> Column:
+    """The word without its suffix, if it has more than four letters."""
+    left = F.substring(word, F.lit(1), F.length(word) - F.length(suffix))
+    out = F.when(suffix == "ies", F.concat(left, F.lit("y"))).when(suffix.isin("ation", "ations") & ~F.endswith(left, F.lit("e")), F.concat(left, F.lit("e"))).otherwise(left)
+    return F.when((F.length(word) <= 4) | (suffix == ""), word).otherwise(out)
+
+
 def stem(word: Column) -> Column:
     """The word without its first matching suffix, if it has more than four letters and three stay."""
-    word = british(word)
-    out = word
-    for suffix in reversed(SUFFIXES):
-        left = cut_end(word, len(suffix))
-        if suffix == "ies":
-            left = F.concat(left, F.lit("y"))
-        elif suffix in ("ation", "ations"):
-            left = F.when(F.endswith(left, F.lit("e")), left).otherwise(F.concat(left, F.lit("e")))
-        out = F.when(F.endswith(word, F.lit(suffix)) & (F.length(word) - len(suffix) >= 3), left).otherwise(out)
-    return F.when(F.length(word) <= 4, word).otherwise(out)
+    return without(british(word), suffix_of(british(word)))
 
 
 def identifier_parts(word: Column) -> Column:
@@ -82,7 +85,10 @@ def exploded_terms(rows: DataFrame, text: str, stemmed: bool = True) -> DataFram
     words = rows.select(*others, F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))).alias("word"))
     parts = words.select(*others, F.explode(identifier_parts(F.col("word"))).alias("part"))
     kept = parts.filter(((F.length("part") >= 2) | F.col("part").rlike("^[0-9]+$")) & ~F.col("part").isin(STOPWORDS))
-    return kept.select(*others, (stem(F.col("part")) if stemmed else F.col("part")).alias("term"))
+    if not stemmed:
+        return kept.withColumnRenamed("part", "term")
+    spelt = kept.select(*others, british(F.col("part")).alias("part"))  # used more than once below, so Spark keeps the steps apart
+    return spelt.select(*others, "part", suffix_of(F.col("part")).alias("suffix")).select(*others, without(F.col("part"), F.col("suffix")).alias("term"))
 
 
 def sentences(text: Column) -> Column:

@@ -87,9 +87,17 @@ def expanded(terms: DataFrame, vocabulary: DataFrame, least: float = 0.45, best:
     unknown = terms.filter(F.length("term") >= shortest).join(vocabulary, "term", "left_anti")
     asked = unknown.select("term").distinct().withColumn("g", padded_trigrams(F.col("term")))
     theirs = vocabulary.select(F.col("term").alias("candidate"), padded_trigrams(F.col("term")).alias("h"))
-    shared = asked.select("term", F.size("g").alias("n"), F.explode("g").alias("gram")).join(theirs.select("candidate", F.size("h").alias("m"), F.explode("h").alias("gram")), "gram")
-    counted = shared.groupBy("term", "candidate", "n", "m").agg(F.count("*").alias("c"))
-    similar = counted.select("term", "candidate", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("similarity")).filter(F.col("similarity") >= least)
+    often = theirs.select(F.explode("h").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+    def rarest(rows: DataFrame, key: str, grams: str) -> DataFrame:
+        """The first n - ceil(least n) + 1 of a term's n trigrams, rarest first: similar terms share one of them."""
+        each = rows.select(key, grams, F.explode(grams).alias("gram")).join(often, "gram", "left").groupBy(key).agg(F.first(grams).alias(grams), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("o"))
+        return each.select(key, grams, F.explode(F.slice("o", F.lit(1), F.size(grams) - F.ceil(F.size(grams) * least - 1e-9).cast("int") + 1)).alias("x")).select(key, grams, F.col("x.gram").alias("gram"))
+
+    sized = (F.size("g") >= F.size("h") * least) & (F.size("h") >= F.size("g") * least)
+    pairs = rarest(asked, "term", "g").join(rarest(theirs, "candidate", "h"), "gram").filter(sized).dropDuplicates(["term", "candidate"])
+    shared = F.size(F.array_intersect("g", "h"))
+    similar = pairs.select("term", "candidate", (shared / (F.size("g") + F.size("h") - shared)).alias("similarity")).filter(F.col("similarity") >= least)
     order = Window.partitionBy("term").orderBy(F.desc("similarity"), "candidate")
     chosen = similar.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
     return unknown.select("query", "term").distinct().join(chosen, "term").select("query", "term", "candidate", "similarity", "rank")
