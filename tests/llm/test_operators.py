@@ -314,6 +314,42 @@ def test_gradient_of_the_network():
         assert g[at] == pytest.approx((up - down) / 2e-2, rel=1e-2, abs=1e-4)
 
 
+def test_labels_by_plain_loops():
+    """Pooled probabilities against the network's equations, position by position."""
+    network = language.Network(3, hidden=4)
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"abc de") for _ in range(n)) for n in (0, 1, 31, 256, 257, 300, 513, 1000)]
+
+    def states(layer, own):
+        h, out = np.zeros(4), []
+        for b in own:
+            a, g = layer.byte[b], h @ layer.gates
+            z, r = (1 / (1 + np.exp(-(a[i : i + 4] + g[i : i + 4]))) for i in (0, 4))
+            h = z * h + (1 - z) * np.tanh(a[8:] + (r * h) @ layer.state)
+            out.append(h)
+        return out
+
+    for text, got in zip(texts, network.pooled(texts)):
+        total = np.zeros(3)
+        for own in range(0, len(text), language.OWN):
+            first = max(0, own - language.CONTEXT)
+            window = text[first : own + language.OWN + language.CONTEXT]
+            both = zip(states(network.ahead, window), states(network.back, window[::-1])[::-1])
+            for i, (ahead, back) in enumerate(both):
+                if own <= first + i < own + language.OWN and window[i] != 32:
+                    p = np.exp(np.concatenate([ahead, back]) @ network.out + network.bias)
+                    total += p / p.sum()
+        assert got == pytest.approx(total, rel=1e-4, abs=1e-6)
+
+
+def test_language_of_odd_rows(spark, docs):
+    model = language.train(["the cat sat on the mat"] * 4 + ["der hund und die katze"] * 4, ["en"] * 4 + ["de"] * 4, steps=60)
+    odd = spark.createDataFrame([(1, "the cat sat", 7), (1, "the cat sat", 7), (None, "der hund " * 5000, 8)], "doc_id long, text string, `my score` long")
+    got = sorted((r.doc_id or 0, r["my score"], r.lang_pred) for r in language.identify(odd, model, ["doc_id", "my score"]).collect())
+    assert got == [(0, 8, "de"), (1, 7, "en"), (1, 7, "en")]
+    assert language.identify(odd.limit(0), model, ["doc_id"]).count() == 0
+
+
 def test_language(spark, data):
     got = collected(language.op5_language_id(spark, data)).merge(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
     held = got[got.held_out.astype(bool)]
