@@ -115,3 +115,14 @@ def unknown_vocabulary(terms: DataFrame, index: DataFrame, n_docs: DataFrame) ->
 def within_budget(ranked: DataFrame, group: str, rank: str, size: Column, budget: int) -> DataFrame:
     """Each group's rows in order of rank as long as their sizes together stay within budget."""
     return ranked.withColumn("used", F.sum(size).over(Window.partitionBy(group).orderBy(rank))).filter(F.col("used") <= budget)
+
+
+def lexical_support(claims: DataFrame, cards: DataFrame, index: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """query, doc, overlap of cards (query, doc): the share of a claim's weight that terms of the card carry. A claim's
+    terms (query, term) are distinct and weigh their idf; those that no document has weigh the most."""
+    idf = bm25_idf(index.join(claims.select("term").distinct(), "term", "left_semi"), n_docs)
+    most = F.log(1 + (F.col("n") + 0.5) / 0.5)
+    weighed = claims.join(idf, "term", "left").join(F.broadcast(n_docs.select("n")), how="cross").select("query", "term", F.coalesce("idf", most).alias("w"))
+    total = weighed.groupBy("query").agg(F.sum("w").alias("total"))
+    shared = cards.join(weighed, "query").join(index.select("doc", "term"), ["doc", "term"]).groupBy("query", "doc").agg(F.sum("w").alias("shared"))
+    return cards.join(total, "query").join(shared, ["query", "doc"], "left").select("query", "doc", (F.coalesce("shared", F.lit(0.0)) / F.col("total")).alias("overlap"))
