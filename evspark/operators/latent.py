@@ -45,6 +45,8 @@ def unit_weights(posting: DataFrame, idf: DataFrame) -> DataFrame:
 def product(weights: DataFrame, vectors: DataFrame, by: str, to: str) -> DataFrame:
     """`to` with the sum of weight times vector over what shares `by`."""
     own = [c for c in vectors.columns if c != by]
+    if not own:
+        return weights.join(vectors, by).select(to).distinct()
     return weights.join(vectors, by).groupBy(to).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in own))
 
 
@@ -85,16 +87,16 @@ def latent(docs: DataFrame, key: str, text: str, components: int = 24, more: int
     df = posting.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df)
     idf = stored(df.join(F.broadcast(n), how="cross").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
     weights = stored(unit_weights(posting, idf), "weights")
+    if idf.isEmpty():
+        return Latent(idf, idf.select("term"), weights.select("doc"), [])
     random = [(F.xxhash64("term", F.lit(j)) / float(2**63)).alias(c) for j, c in enumerate(columns_of(components + more))]
     terms = idf.select("term", *random)
     for _ in range(rounds + 1):
         seen = product(weights, terms, "term", "doc")
         terms = stored(product(weights, seen, "doc", "term"), "subspace")
-        size, axes = np.linalg.eigh(gram(terms, terms.columns[1:])) if not terms.isEmpty() else (np.zeros(0), np.zeros((components + more, 0)))
-        wide = size > 1e-12 * size.max(initial=0.0)
+        size, axes = np.linalg.eigh(gram(terms, terms.columns[1:]))
+        wide = size > 1e-12 * size.max()
         terms = turned(terms, "term", axes[:, wide] / np.sqrt(size[wide]))
-    if len(terms.columns) == 1:
-        return Latent(idf, terms, weights.select("doc").distinct(), [])
     seen = stored(product(weights, terms, "term", "doc"), "projected")
     size, axes = np.linalg.eigh(gram(seen, seen.columns[1:]))
     best = np.argsort(-size)[:components]
