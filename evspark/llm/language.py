@@ -7,7 +7,7 @@ so that a position's label knows at least that much of the text on either side,
 length are read in bounded memory. A document's probabilities are the mean over all positions but spaces.
 
 It learns from about `per_language` documents of each language, TRAINING_DOCS of all at most, chosen by a hash, and of
-each from PASSAGE characters at a place chosen by a hash. Null texts and those without a letter are `und` with score 0,
+each from PASSAGE characters at a place chosen by a hash; of more languages than TRAINING_DOCS the most frequent. Null texts and those without a letter are `und` with score 0,
 as are all if there is nothing to learn from. Texts without lang aren't learned from. Of languages that tie the first by
 name is predicted. Repeated rows are labelled each; rows without id are neither held out nor learned from. An empty
 table gives no rows. Other columns aren't read, whatever their names.
@@ -266,10 +266,10 @@ def labelled(names: list[str], network: Network, texts: list[str | None]) -> Ite
 def training_sample(docs: DataFrame, usable: Column, key: str, text: str, lang: str, per_language: int) -> tuple[list[str], list[str]]:
     """Passages and languages of about per_language usable documents of each language, of TRAINING_DOCS in all."""
     rows = docs.filter(usable & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text"))
-    counts = rows.groupBy("_lang").count()
+    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(TRAINING_DOCS)
     each = counts.select("_lang", (1e6 * F.least(F.lit(per_language), F.lit(TRAINING_DOCS) / F.count("*").over(Window.partitionBy(F.lit(0)))) / F.col("count")).alias("_share"))
     place = 1 + F.pmod(F.xxhash64("_text", "_id"), F.greatest(F.length("_text") - PASSAGE + 1, F.lit(1)))
-    picked = rows.join(F.broadcast(each), "_lang").filter(F.pmod(F.xxhash64("_id", "_text"), F.lit(1_000_000)) < F.col("_share"))  # a row a language
+    picked = rows.join(F.broadcast(each), "_lang").filter(F.pmod(F.xxhash64("_id", "_text"), F.lit(1_000_000)) < F.col("_share"))  # TRAINING_DOCS rows at most
     found = picked.select("_id", "_lang", F.substring("_text", place, F.lit(PASSAGE)).alias("_text")).distinct().collect()
     found.sort()
     return [r["_text"] for r in found], [r["_lang"] for r in found]
