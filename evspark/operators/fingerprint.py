@@ -18,6 +18,15 @@ def fingerprints(docs: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.posexplode(kgram_hashes(prose_tokens(F.col(text), stemmed=False, keep_stopwords=False), k)).alias("pos", "hash"))
 
 
+def ladder_fingerprints(docs: DataFrame, key: str, text: str, short: int = 7) -> DataFrame:
+    """id, k, pos, hash of every k-gram: three tokens in texts of fewer than `short`, else five."""
+    tokens = prose_tokens(F.col(text), stemmed=False, keep_stopwords=False)
+    rows = docs.select(F.col(key).alias("id"), tokens.alias("t"))
+    small = F.size("t") < short
+    hashes = F.when(small, kgram_hashes(F.col("t"), 3)).otherwise(kgram_hashes(F.col("t"), 5))
+    return rows.select("id", F.when(small, 3).otherwise(5).alias("k"), F.posexplode(hashes).alias("pos", "hash"))
+
+
 def winnowed(prints: DataFrame, window: int = 4) -> DataFrame:
     """The k-grams that winnowing selects: of each full window the smallest hash, the last such; all of up to `window` k-grams."""
     sized = prints.withColumn("n", F.count("*").over(Window.partitionBy("id")))

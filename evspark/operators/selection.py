@@ -28,3 +28,10 @@ def most_common(rows: DataFrame, by: str, value: str) -> DataFrame:
     counts = rows.groupBy(by, value).agg(F.count("*").alias("n"))
     best = counts.groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("m"), value)).alias("b"))
     return best.select(by, F.col(f"b.{value}").alias(value), (-F.col("b.m")).alias("n"))
+
+
+def first_seen(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """by, seen: a group's distinct values, which should be few, in the order of their first appearance."""
+    firsts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.min(order).alias("o"))
+    seen = F.array_sort(F.collect_list(F.struct("o", F.col(value).alias("v"))))
+    return firsts.groupBy(by).agg(F.transform(seen, lambda x: x["v"]).alias("seen"))

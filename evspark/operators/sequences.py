@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 
 def without_consecutive_repeats(rows: DataFrame, by: str, order: str, state: str) -> DataFrame:
@@ -24,7 +24,11 @@ def common_prefix(pairs: DataFrame, by: str, position: str, a: str, b: str) -> D
 
 
 def warped(a: np.ndarray, b: np.ndarray, band: int) -> float:
-    """Dynamic time warping with absolute costs within a band about the diagonal; infinite against an empty sequence."""
+    """Dynamic time warping with absolute costs within a band about the diagonal; infinite against an empty sequence.
+
+    A cell is entered from the row before, or along its own row; the second is a running minimum once the row's own costs
+    are summed up.
+    """
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0 if n == m else float("inf")
@@ -33,9 +37,10 @@ def warped(a: np.ndarray, b: np.ndarray, band: int) -> float:
     row[0] = 0.0
     for i in range(1, n + 1):
         low, high = max(1, i - band), min(m, i + band)
+        cost = np.abs(a[i - 1] - b[low - 1 : high])
+        run = np.cumsum(cost)
         new = np.full(m + 1, np.inf)
-        for j in range(low, high + 1):
-            new[j] = abs(a[i - 1] - b[j - 1]) + min(row[j], row[j - 1], new[j - 1])
+        new[low : high + 1] = run + np.minimum.accumulate(np.minimum(row[low : high + 1], row[low - 1 : high]) + cost - run)
         row = new
     return float(row[m])
 
@@ -45,15 +50,70 @@ def dtw(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([warped(np.asarray(x, float), np.asarray(y, float), 5) for x, y in zip(a, b)])
 
 
+def score_rows(a: list, b: list, gap: int, other: int, same: int) -> Iterator[np.ndarray]:
+    """The rows of a global alignment's table of best scores, from that of no item of a on; gaps within a row are a running
+    maximum."""
+    steps = gap * np.arange(len(b) + 1)
+    items = np.empty(len(b), object)
+    items[:] = b
+    row = steps
+    yield row
+    for i, x in enumerate(a, 1):
+        entered = np.maximum(row[:-1] + np.where(items == x, same, other), row[1:] + gap)
+        row = steps + np.maximum.accumulate(np.concatenate(([gap * i], entered)) - steps)
+        yield row
+
+
 def global_score(a: list, b: list, gap: int = -1, other: int = -1, same: int = 1) -> int:
     """Needleman-Wunsch score."""
-    row = [gap * j for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        new = [gap * i]
-        for j, y in enumerate(b, 1):
-            new.append(max(row[j - 1] + (same if x == y else other), row[j] + gap, new[j - 1] + gap))
-        row = new
-    return row[-1]
+    for row in score_rows(a, b, gap, other, same):
+        pass
+    return int(row[-1])
+
+
+def alignment_columns(a: list, b: list, gap: int = -1, other: int = -1, same: int = 0) -> str:
+    """The columns of a best global alignment: = equal, ~ different, a and b for items of one side only. Of equal scores,
+    pairs go before items of a, and those before items of b, as seen from the end."""
+    rows = list(score_rows(a, b, gap, other, same))
+    i, j, out = len(a), len(b), []
+    while i or j:
+        paired = i and j and rows[i][j] == rows[i - 1][j - 1] + (same if a[i - 1] == b[j - 1] else other)
+        if paired:
+            out.append("=" if a[i - 1] == b[j - 1] else "~")
+            i, j = i - 1, j - 1
+        elif i and rows[i][j] == rows[i - 1][j] + gap:
+            out.append("a")
+            i -= 1
+        else:
+            out.append("b")
+            j -= 1
+    return "".join(reversed(out))
+
+
+@F.pandas_udf(StringType())
+def alignment(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([alignment_columns(list(x), list(y)) for x, y in zip(a, b)])
+
+
+def alike(a: np.ndarray, b: np.ndarray, magnitude: float = 10 / 17) -> float:
+    """Likeness of two series in [0, 1]: of their values on one scale, and of their shapes in deviations from the mean. Two
+    constant series have one shape, a constant and a varying one have none in common; an empty one is like nothing."""
+    if not len(a) or not len(b):
+        return 0.0
+    longest, band = max(len(a), len(b)), max(4, abs(len(a) - len(b)))
+    span = max(np.abs(a).max(), np.abs(b).max(), 1.0)
+    sizes = 1 / (1 + warped(a / span, b / span, band) / longest)
+    flat_a, flat_b = a.std() < 1e-9, b.std() < 1e-9
+    if flat_a or flat_b:
+        shapes = float(flat_a and flat_b)
+    else:
+        shapes = 1 / (1 + warped((a - a.mean()) / a.std(), (b - b.mean()) / b.std(), band) / longest)
+    return float(magnitude * sizes + (1 - magnitude) * shapes)
+
+
+@F.pandas_udf(DoubleType())
+def series_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([alike(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)])
 
 
 @F.pandas_udf(IntegerType())

@@ -8,7 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType
 
 from evspark.sources.stored import stored
 
@@ -273,3 +273,78 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([1 - incomplete_gamma(n / 2, v / 2) for v, n in zip(x, df)])
+
+
+def t_upper(x: float, df: float) -> float:
+    """The chance of a larger value of Student's t."""
+    half = incomplete_beta(df / 2, 0.5, df / (df + x * x)) / 2
+    return half if x >= 0 else 1 - half
+
+
+def t_quantile(p: float, df: float) -> float:
+    """The value that Student's t stays below with chance p, by halving."""
+    low, high = -1.0, 1.0
+    while t_upper(low, df) < 1 - p:
+        low *= 2
+    while t_upper(high, df) > 1 - p:
+        high *= 2
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_upper(middle, df) > 1 - p else (low, middle)
+    return (low + high) / 2
+
+
+def power(effect: float, n: int, alpha: float = 0.05) -> float:
+    """The chance that a two-sided test of two groups of n finds the effect, by the normal form of the shifted t."""
+    if n < 2:
+        return 0.0
+    limit, shift, normal = t_quantile(1 - alpha / 2, 2 * n - 2), abs(effect) * math.sqrt(n / 2), NormalDist()
+    return normal.cdf(shift - limit) + normal.cdf(-shift - limit)
+
+
+def detectable(n: int, wanted: float = 0.8, alpha: float = 0.05) -> float:
+    """The smallest effect, of up to 5, that two groups of n find with the wanted power."""
+    if n < 2:
+        return 5.0
+    limit, normal, low, high = t_quantile(1 - alpha / 2, 2 * n - 2), NormalDist(), 0.0, 5.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        shift = middle * math.sqrt(n / 2)
+        low, high = (middle, high) if normal.cdf(shift - limit) + normal.cdf(-shift - limit) < wanted else (low, middle)
+    return (low + high) / 2
+
+
+def cases_needed(effect: float, wanted: float = 0.8, alpha: float = 0.05, most: int = 100_000) -> int:
+    """The smallest n of two groups that finds the effect with the wanted power; `most` where none up to it does."""
+    if not effect or power(effect, most, alpha) < wanted:
+        return most
+    low, high = 2, most
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if power(effect, middle, alpha) < wanted else (low, middle)
+    return low
+
+
+@F.pandas_udf(DoubleType())
+def t_greater(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([t_upper(x, n) for x, n in zip(t, df)])
+
+
+@F.pandas_udf(DoubleType())
+def f_tail(x: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
+    return pd.Series([incomplete_beta(b / 2, a / 2, b / (b + a * v)) if v > 0 else 1.0 for v, a, b in zip(x, df1, df2)])
+
+
+@F.pandas_udf(DoubleType())
+def power_of(effect: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([power(d, int(k)) for d, k in zip(effect, n)])
+
+
+@F.pandas_udf(DoubleType())
+def detectable_of(n: pd.Series) -> pd.Series:
+    return n.map(lambda k: detectable(int(k)))
+
+
+@F.pandas_udf(LongType())
+def cases_needed_of(effect: pd.Series) -> pd.Series:
+    return effect.map(cases_needed)
