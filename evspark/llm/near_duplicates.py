@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     """key, n_shingles, component_id, kept of each row: the components of the links between sets of `width`-word shingles
     whose intersection is at least `percent` hundredths of their union."""
     signed = written(signatures(docs, width, key, text), "signatures")
-    roots = signed.groupBy("class").agg(F.min("id").alias("node"))
+    roots = signed.groupBy("class").agg(F.min("id").alias("node"), F.count("*").alias("n_rows"))
     first = signed.filter("n_shingles > 0 AND id IS NOT NULL").join(roots.select("class", F.col("node").alias("id")), ["class", "id"])
     nodes = written(first.dropDuplicates(["class"]).withColumnRenamed("id", "node"), "nodes")
     banded = nodes.select("class", "node", F.explode("bands").alias("key"))
@@ -172,11 +172,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
 
     to_pivot = shared.filter("node <> pivot").select(F.col("class").alias("ca"), "pivot").distinct().join(nodes.select(F.col("node").alias("pivot"), F.col("class").alias("cb")), "pivot")
     links = confirmed(to_pivot.select("ca", "cb"), nodes, texts, width, percent)
-    several = signed.filter("id IS NOT NULL").groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("id")
-    several = written(several, "several")
-    repeated = not several.isEmpty()
-    if repeated:
-        links = links.unionByName(written(id_links(signed, several, roots), "ids"))
+    several, of_ids = links_of_ids(signed, roots)
+    if several is not None:
+        links = links.unionByName(of_ids)
     found = components(links, "a", "b")
     for last in (False, True):
         mixed = mixed_buckets(shared, found)
@@ -186,18 +184,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         links = links.unionByName(confirmed(pairs, nodes, texts, width, percent))
         found = components(links, "a", "b")
 
-    rows = signed.select("id", "class", "n_shingles").join(roots, "class")
-    component = F.col("node")
-    if found is not None:
-        rows, component = rows.join(found, "node", "left"), F.coalesce("component", "node")
-    rows = rows.select("id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(component).alias("c"))
+    return labelled(signed, roots, found, several, key)
+
+
+#: A class of more than this share of all rows is looked up in a broadcast table, of as many rows at most.
+HEAVY = 5000
+
+
+def labelled(signed: DataFrame, roots: DataFrame, found: DataFrame | None, several: DataFrame | None, key: str) -> DataFrame:
+    """key, n_shingles, component_id, kept of each row of signed. roots: class, node, n_rows. Components are looked up for
+    each class first; rows of frequent classes meet them by a broadcast of HEAVY classes at most, so no task gets all copies
+    of a text."""
+    classes = roots.withColumn("component", F.col("node")) if found is None else roots.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = written(classes.select("class", "component", "n_rows"), "classes")
+    least = signed.count() // HEAVY
+    heavy = classes.filter(F.col("n_rows") > least).select("class", F.col("component").alias("_c"), F.lit(True).alias("_heavy"))
+    rows = signed.select("id", "class", "n_shingles").join(F.broadcast(heavy), "class", "left")
+    light = rows.filter("_heavy IS NULL").drop("_c", "_heavy").join(classes.filter(F.col("n_rows") <= least).select("class", F.col("component").alias("_c")), "class")
+    rows = rows.filter("_heavy").drop("_heavy").unionByName(light)
+    rows = rows.select("id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("_c")).alias("c"))
     component = F.col("c")
-    if repeated:  # an id's rows have one component, those without words too
+    if several is not None:  # an id's rows have one component, those without words too
         own = rows.join(several, "id", "left_semi").groupBy("id").agg(F.min("c").alias("of_id"))
         rows, component = rows.join(own, "id", "left"), F.coalesce("of_id", "c")
     return rows.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+def links_of_ids(signed: DataFrame, roots: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The ids that come with several texts, and the links (a, b: nodes) between those; None and None if there are none."""
+    several = signed.filter("id IS NOT NULL").groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("id")
+    several = written(several, "several")
+    return (None, None) if several.isEmpty() else (several, written(id_links(signed, several, roots.select("class", "node")), "ids"))
+
+
 def id_links(signed: DataFrame, several: DataFrame, roots: DataFrame) -> DataFrame:
     """a, b: the nodes of each id's texts, linked with the smallest of them."""
     of = signed.filter("n_shingles > 0").join(several, "id").select("id", "class").distinct().join(roots, "class").select("id", "node").distinct()
