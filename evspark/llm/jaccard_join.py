@@ -46,6 +46,8 @@ RARITY = 1 << 19
 SPREAD = 16
 #: Index rows of one place that a task sorts, about, and the rows of one hash that stay together, with the most parts of it.
 PLACE_ROWS, TOGETHER, MOST_PARTS = 1 << 20, 2000, 64
+#: Rows of a group that others are compared with at a time.
+BLOCK = 4096
 #: Index rows that a task holds before it hands them on.
 HELD = 1 << 20
 
@@ -59,7 +61,7 @@ class Parts:
     """The segments of one set in one band of sizes."""
 
     def __init__(self, tokens: np.ndarray, band: int, percent: int):
-        self.n = apart((2 << band) - 1, percent) + 1
+        self.n = (apart((2 << band) - 1, percent) + 1) * 3 // 2 + 1  # half as many again as are looked up, to choose among
         base = mix(np.arange(self.n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
         x = mix(tokens ^ np.uint64(0x2545F4914F6CDD1D))
         of = (mix(x + np.uint64(band)) % np.uint64(self.n)).astype(np.int64)
@@ -198,7 +200,8 @@ def index_rows(docs: DataFrame, cost, n_places: int, together: int, width: int,
 
 def met(packed: DataFrame, cost, n_places: int, together: int) -> DataFrame:
     """hash, id, role, head, asks, dealt of index rows whose hash others have, where one that is looked up meets another.
-    head is the smallest id with a whole part in the row's place, asks whether the row has to be held against it. Hashes
+    head is the smallest id with a whole part in the row's place, asks whether one of both is looked up in a way that finds
+    the other. Hashes
     that are dealt to several places keep all rows. A written table."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +229,7 @@ def met(packed: DataFrame, cost, n_places: int, together: int) -> DataFrame:
             several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
             dealt = np.repeat(parts_of[place_of(hashes[starts])] > 1, sizes)
             most = np.maximum(unit, np.repeat(unit[starts], sizes))
-            asks = np.where(whole, most >= 1, most == 2) | ~dealt
+            asks = np.where(whole, most >= 1, most == 2)
             keep = dealt | np.repeat(finds & several, sizes)
             columns = [hashes.view(np.int64), ids, roles.astype(np.int32), np.repeat(ids[starts], sizes), asks, dealt]
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["hash", "id", "role", "head", "asks", "dealt"])
@@ -317,7 +320,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
         mixed = mixed_groups(rows, found)
         if mixed.isEmpty():
             break
-        links = links.unionByName(confirm(across(mixed) if last else by_other_pivot(mixed)))
+        links = links.unionByName(confirm(across(mixed, nodes, percent) if last else by_other_pivot(mixed)))
         found = components(links, "a", "b")
     return labelled(signed, roots, found, several, key).drop("kept")
 
@@ -326,9 +329,9 @@ def mixed_groups(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     """hash, class, role, component, main: the rows of groups that hold several components, with the component most frequent there."""
     named_ = rows.withColumn("component", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named_.groupBy("hash", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("hash").agg(F.count("*").alias("k"), F.max(F.struct("n", "component")).alias("m")).filter("k > 1").select("hash", F.col("m.component").alias("main"))
+    main = sizes.groupBy("hash").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m")).filter("k > 1").select("hash", "n", F.col("m.component").alias("main"))
     each = F.explode(F.filter(F.array("whole", "cut"), lambda r: r.isNotNull()))
-    return written(named_.join(main, "hash").select("hash", "class", each.alias("role"), "component", "main"), "mixed")
+    return written(named_.join(main, "hash").select("hash", "class", each.alias("role"), "component", "main", "n"), "mixed")
 
 
 def by_other_pivot(mixed: DataFrame) -> DataFrame:
@@ -338,13 +341,54 @@ def by_other_pivot(mixed: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("class", "p.class").alias("ca"), F.least("class", "p.class").alias("cb"))
 
 
-def across(mixed: DataFrame) -> DataFrame:
+def across(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs of rows of different components that share a group and are looked up there, of which one is outside the
-    group's main component."""
-    a = mixed.filter("component <> main").select("hash", F.col("class").alias("x"), F.col("component").alias("p"), F.col("role").alias("rx"))
-    b = mixed.select("hash", F.col("class").alias("y"), F.col("component").alias("q"), F.col("role").alias("ry"))
-    pairs = a.join(b, "hash").filter((F.col("p") != F.col("q")) & looked_up("rx", "ry"))
-    return pairs.select(F.greatest("x", "y").alias("ca"), F.least("x", "y").alias("cb"))
+    group's main component, as far as their sizes and sketches let them be similar. Rows of a group are compared in numpy,
+    those outside with BLOCK of all at a time; only pairs that pass become rows."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    signed = mixed.join(nodes.select("class", "sketch", "n_shingles"), "class").withColumn("parts", parts)
+    columns = ["hash", "part", "outer", "class", "component", "role", "n_shingles", "sketch"]
+    every = signed.withColumns({"part": F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"), "outer": F.lit(False)}).select(columns)
+    outer = signed.filter("component <> main").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "outer": F.lit(True)}).select(columns)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, inner = None, []
+
+        def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+            plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 6)]
+            return [np.array(batch.column(3).to_pylist(), dtype=object), *plain, batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)]
+
+        def passing(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            step = max(1, (1 << 16) // len(y[0]))
+            for at in range(0, len(x[0]), step):
+                names, p, r, n, sk = (c[at : at + step] for c in x)
+                unit = np.maximum.outer(r & 3, y[2] & 3)
+                cuts = (r >= 4)[:, None].astype(int) + (y[2] >= 4)[None, :]
+                asks = (cuts == 0) & (unit >= 1) | (cuts == 1) & (unit == 2)
+                least, most = np.minimum.outer(n, y[3]), np.maximum.outer(n, y[3])
+                i, j = np.nonzero(asks & (p[:, None] != y[1][None, :]) & (least * 100 >= most * percent))
+                differ = np.bitwise_count(sk[i] ^ y[4][j]).sum(axis=1, dtype=np.int64)
+                near = differ * (100 + percent) <= (n[i] + y[3][j]) * (100 - percent)
+                a, b = names[i[near]], y[0][j[near]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.binary()), pa.array(np.minimum(a, b), pa.binary())], ["ca", "cb"])
+
+        for batch in batches:
+            key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)], 1)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.zeros(0, np.int64)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+                if tuple(key[a, :2]) != group:
+                    group, inner = tuple(key[a, :2]), []
+                rows = unpacked(batch.slice(a, b - a))
+                if not key[a, 2]:
+                    inner.append(rows)
+                elif inner:  # rows of a part come before those that are compared with them
+                    inner = [[np.concatenate(c) for c in zip(*inner)]]
+                    yield from passing(rows, inner[0])
+        tidy()
+
+    rows = every.unionByName(outer).repartition("hash", "part").sortWithinPartitions("hash", "part", "outer")
+    return rows.mapInArrow(compare, "ca binary, cb binary")
 
 
 def op13_jaccard_join(spark, sf_dir: str) -> DataFrame:
