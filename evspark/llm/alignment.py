@@ -67,6 +67,7 @@ class Bytewise:
             if all(c in byte_of for c in entry):
                 self.spelt[i] = bytes(byte_of[c] for c in entry)
                 ranks[self.spelt[i]] = i
+        self.lengths = np.array([len(x) for x in self.spelt], np.int64)
         special = {t.content for t in self.library.get_added_tokens_decoder().values()}
         ranks = {b: i for b, i in ranks.items() if b.decode("utf-8", "replace") not in special}
         self.quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -94,6 +95,7 @@ class Pieces:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.library.get_piece_size()
         self.spelt = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.library.id_to_piece(i)) for i in range(n))]
+        self.lengths = np.array([len(x) for x in self.spelt], np.int64)
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -105,15 +107,11 @@ class Pieces:
         return self.library.encode(text, num_threads=1)
 
 
-def ends(ids: list[int], spelt: list[bytes]) -> np.ndarray:
-    return np.cumsum(np.fromiter((len(spelt[i]) for i in ids), np.int64, len(ids)))
-
-
-def aligned(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Of two rising arrays of ends with one last end: the linked tokens' indices in either, and where the groups end in
-    either, as the number of tokens up to there."""
+def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of two rising arrays of ends with one last end: the linked tokens' indices in either, in no order, and where the
+    groups end in either, as the number of tokens up to there."""
     pa_, pb, ea, eb = a.tobytes(), b.tobytes(), array("q", a.tobytes()), array("q", b.tobytes())
-    la, lb, ga, gb, i, j, n = [], [], [], [], 0, 0, len(ea)
+    ri, rj, rk, xa, xb, i, j, n = [], [], [], [], [], 0, 0, len(ea)  # runs of ends that agree; links where they don't
     while i < n:
         k, step, growing = 0, 4, True
         while step:
@@ -123,25 +121,25 @@ def aligned(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int], list[in
             else:
                 growing = False
             step = step << 1 if growing else step >> 1
-        la.extend(range(i, i + k))
-        lb.extend(range(j, j + k))
-        ga.extend(range(i + 1, i + k + 1))
-        gb.extend(range(j + 1, j + k + 1))
-        i, j = i + k, j + k
-        if i < n:
-            while True:
-                la.append(i)
-                lb.append(j)
-                if ea[i] < eb[j]:
-                    i += 1
-                elif eb[j] < ea[i]:
-                    j += 1
-                else:
-                    break
-            i, j = i + 1, j + 1
-            ga.append(i)
-            gb.append(j)
-    return la, lb, ga, gb
+        if k:
+            ri.append(i)
+            rj.append(j)
+            rk.append(k)
+            i, j = i + k, j + k
+        while i < n:  # up to where ends agree again: the last link of an irregular group begins a run
+            y, z = ea[i], eb[j]
+            if y == z:
+                break
+            xa.append(i)
+            xb.append(j)
+            if y < z:
+                i += 1
+            else:
+                j += 1
+    k = np.array(rk, np.int64)
+    along = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+    ia, ib = np.repeat(np.array(ri, np.int64), k) + along, np.repeat(np.array(rj, np.int64), k) + along
+    return np.concatenate([ia, np.array(xa, np.int64)]), np.concatenate([ib, np.array(xb, np.int64)]), ia + 1, ib + 1
 
 
 class Spelling:
@@ -197,10 +195,10 @@ def links(docs: DataFrame, a_path: str, b_path: str, key: str, text: str, keep:
                     spaced = " " + text_
                     ia, ib, want = one.ids(spaced), other.ids(text_), spaced.encode()
                     if b"".join(map(one.spelt.__getitem__, ia)) == want == b"".join(map(other.spelt.__getitem__, ib)):
-                        la, lb, ga, gb = aligned(ends(ia, one.spelt), ends(ib, other.spelt))
                         xa, xb = np.array(ia, np.int64), np.array(ib, np.int64)
+                        la, lb, ga, gb = aligned(np.cumsum(one.lengths[xa]), np.cumsum(other.lengths[xb]))
                         pairs, times = np.unique(xa[la] * wide + xb[lb], return_counts=True)
-                        digest = sha256(spelling(xa, xb, np.array(ga), np.array(gb)).encode()).hexdigest()
+                        digest = sha256(spelling(xa, xb, ga, gb).encode()).hexdigest()
                         made.append((len(ia), len(ib), len(ga), len(la), digest, row, _sliced(np.diff(pairs, prepend=0)), _sliced(times)))
                         continue
                 made.append((*nothing, row, b"", b""))
