@@ -8,7 +8,7 @@ Rows travel as one column through a stage, so their other columns may have any n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evspark.llm.common import named, table, written
@@ -37,27 +37,42 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select(_row(docs), scores(model, F.col("text")).alias("_s")).filter("NOT _s.toxic").select("_row.*")
 
 
+def _hash(docs: DataFrame):
+    """A hash of all columns of a row; maps, which have none, count as JSON."""
+    return F.xxhash64(*(F.to_json(F.struct(named(f.name).alias("x"))) if "map<" in f.dataType.simpleString() else named(f.name) for f in docs.schema.fields))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest doc_id, as one row.
+    """One row of each group of near duplicates: that of the smallest doc_id, rows without one last, then of the least hash
+    of its text and of all its columns.
 
-    Null and empty texts, and texts without words, are duplicates of nothing but of rows with their doc_id. Of rows that
-    repeat a kept doc_id the one of the least hash of its text stays. Rows without doc_id go where another row with one
-    has their text, and stay once for each text otherwise, but all of those without words stay. Texts of any length
-    count whole. An empty table stays empty.
+    Each text is judged by itself: a doc_id that comes with several texts links none of them. Null and empty texts, and
+    texts without words, are duplicates of nothing and all stay, repeated rows too. Of rows that are equal in all columns,
+    or tie in those hashes, one stays. Texts of any length count whole. An empty table stays empty.
     """
-    judged = near_duplicates(docs)
-    kept = judged.filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.md5("text").alias("_class"), _row(docs))
-    one = Window.partitionBy("_id").orderBy("_class")
-    with_id = rows.filter("_id IS NOT NULL").join(kept, "_id", "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("_row")
-    bare = rows.filter("_id IS NULL")
-    if bare.isEmpty():
-        return with_id.select("_row.*")
-    worded = F.col("_row.text").rlike(r"[^\x20\x09-\x0D]")
-    seen = rows.filter("_id IS NOT NULL").select("_class").distinct()
-    once = Window.partitionBy("_class").orderBy(F.lit(0))
-    texts = bare.filter(worded).join(seen, "_class", "left_anti").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row")
-    return with_id.unionByName(texts).unionByName(bare.filter(F.coalesce(~worded, F.lit(True))).select("_row")).select("_row.*")
+    number = F.col("doc_id").cast("long")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    place = ["_bare", "_id", "_class", "_h"]
+    rows = docs.select(number.isNull().alias("_bare"), F.coalesce(number, F.lit(0)).alias("_id"), F.md5("text").alias("_class"), _hash(docs).alias("_h"), worded.alias("_worded"), F.col("text").alias("_text"), _row(docs))
+    idle, rows = rows.filter("NOT _worded").select("_row"), rows.filter("_worded")
+    places = written(rows.select(place).distinct(), "places")
+    # texts are keyed by their doc_id, but by a number of their own where it is null, negative or comes with other texts
+    shared = written(places.filter("NOT _bare").groupBy("_id").agg(F.min("_class").alias("lo"), F.max("_class").alias("hi")).filter("lo <> hi OR _id < 0").select("_id"), "shared")
+    own = written(places.filter("_bare").unionByName(places.filter("NOT _bare").join(shared, "_id", "left_semi")).select("_class").distinct().withColumn("_key", -1 - F.monotonically_increasing_id()), "own")
+
+    def keyed(x: DataFrame) -> DataFrame:
+        if own.isEmpty():
+            return x.withColumn("_key", F.col("_id"))
+        plain = x.filter("NOT _bare").join(shared, "_id", "left_anti").withColumn("_key", F.col("_id"))
+        other = x.filter("_bare").unionByName(x.filter("NOT _bare").join(shared, "_id", "left_semi").select(x.columns))
+        return plain.select(*x.columns, "_key").unionByName(other.join(own, "_class").select(*x.columns, "_key"))
+
+    judged = near_duplicates(keyed(rows.select("_bare", "_id", "_class", "_text")), key="_key", text="_text")
+    component = judged.groupBy("_key").agg(F.min("component_id").alias("_component"))  # one for all rows of a key
+    least = keyed(places).groupBy("_key").agg(F.min(F.struct(place)).alias("m"))
+    best = least.join(component, "_key").groupBy("_component").agg(F.min("m").alias("m")).select("m.*")
+    kept = rows.select(*place, "_row").join(best, place, "left_semi").dropDuplicates(place)
+    return kept.select("_row").unionByName(idle).select("_row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

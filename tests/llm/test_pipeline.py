@@ -58,3 +58,21 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").filter(F.lit(False)).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_loses_no_text(spark):
+    """Null texts beside real ones under one doc_id, doc_ids with several texts, equal rows, rows without doc_id, maps."""
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randrange(1000)}" for _ in range(30)) for _ in range(4))
+    rows = [(1, a, "x"), (1, None, "x"), (2, b, "y"), (9, a, "z"), (9, b, "z"), (5, c, "m"), (5, c, "k"), (5, c, "k"), (None, c, "n"), (None, d, "p"), (None, d, "p"), (None, d, "o"), (None, None, "q"), (None, "", "q"), (3, " ", "r"), (3, " ", "r"), (-1, d + " end", "s"), (-4, a + " tail", "t")]
+    docs = spark.createDataFrame([(i, t, {"k": x}, x) for i, t, x in rows], "doc_id long, text string, m map<string, string>, `a.b` string")
+    for n in (1, 5):
+        got = [(r.doc_id, r.text, r["a.b"]) for r in corpus_pipeline.near_dedup(spark, docs.repartition(n), "").collect()]
+        assert all(r in rows for r in got)
+        one_of = {(i, t): [x for j, u, x in rows if (j, u) == (i, t)] for i, t, _ in rows}
+        found = sorted(((i, t) for i, t, _ in got), key=str)
+        assert found == sorted([(-4, a + " tail"), (-1, d + " end"), (2, b), (5, c), (1, None), (None, None), (None, ""), (3, " "), (3, " ")], key=str)
+        assert all(x in one_of[i, t] for i, t, x in got)
+        first = got if n == 1 else first
+        assert sorted(got, key=str) == sorted(first, key=str)
+    assert corpus_pipeline.near_dedup(spark, docs.filter(F.lit(False)), "").count() == 0
