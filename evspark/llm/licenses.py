@@ -1,15 +1,16 @@
 """License statements in texts, by MinHash bands over overlapping windows, in DataFrame functions alone.
 
 A template is a statement as words; its tokens are its shingles of `width` words. A text's windows are all runs of as many
-words as a template has, at every place. A window's and a template's band keys are hashes of `rows` minima each; those
+words as a template has, at every place; a text of fewer words is one window. A window's and a template's band keys are hashes of `rows` minima each; those
 that share one of `bands` keys are compared by their exact shingles, and hold a match where at least `share` of the
 template's are in the window. A window at the place of a statement with one word in ten changed has a similarity of
 about 2/3 at least; 16 bands of 2 rows find it with a probability of 1 - (1 - 4/9)^16 = 0.9999, an unchanged one surely.
 
 Equal minima mean an equal shingle, so windows without any template shingle can't be found and aren't hashed: words that
 begin a template shingle are looked for first. The templates are a parameter of at most MOST_TEMPLATES statements, which
-bounds what Spark may broadcast. Null and empty texts match nothing; texts of any length are read whole; rows that repeat
-an id are reported together; a row without id too. Without a match a document has no row.
+bounds what Spark may broadcast. Null and empty texts match nothing, nor do texts and templates of fewer than `width` words;
+texts of any length are read whole; rows that repeat an id are reported together, as are those without id. Of windows that
+tie the first is told. Without a match a document has no row, and an empty table gives none. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -85,10 +86,10 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, widt
 
     found = docs.select(F.col(key).alias("_key"), F.transform(F.array(words_of(text)), lambda w: F.struct(w.alias("words"), hits(w).alias("hits")))[0].alias("_f"))
     found = found.filter(F.size("_f.hits") > 0).select("_key", F.col("_f.words").alias("words"), F.col("_f.hits").alias("hits"))
-    windows = found.select("_key", "words", F.explode(F.array(*map(F.lit, lengths))).alias("n_words"), "hits").filter(F.size("words") >= F.col("n_words"))
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(F.greatest(F.lit(0), h + width - F.col("n_words")), F.least(h, F.size("words") - F.col("n_words"))))))
-    windows = windows.select("_key", "words", "n_words", F.explode(starts).alias("start"))
-    windows = windows.select("_key", "n_words", "start", F.array_distinct(shingles_at(F.col("words"), F.sequence(F.col("start"), F.col("start") + F.col("n_words") - width), width)).alias("seen"))
+    windows = found.select("_key", "words", F.explode(F.array(*map(F.lit, lengths))).alias("n_words"), "hits").withColumn("n", F.least("n_words", F.size("words")))
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(F.greatest(F.lit(0), h + width - F.col("n")), F.least(h, F.size("words") - F.col("n"))))))
+    windows = windows.select("_key", "words", "n_words", "n", F.explode(starts).alias("start"))
+    windows = windows.select("_key", "n_words", "start", F.array_distinct(shingles_at(F.col("words"), F.sequence(F.col("start"), F.col("start") + F.col("n") - width), width)).alias("seen"))
     banded = windows.select("_key", "n_words", "start", "seen", F.explode(F.array_distinct(band_keys(F.col("seen")))).alias("band"))
     wanted = known.select("license", "n_words", "tokens", F.explode(F.array_distinct(band_keys(F.col("tokens")))).alias("band"))
     pairs = banded.join(F.broadcast(wanted), ["band", "n_words"]).withColumn("containment", F.size(F.array_intersect("tokens", "seen")) / F.size("tokens"))
@@ -114,7 +115,7 @@ WITH t AS (
 ), h AS (
   SELECT g.doc_id, k.license, k.n, len(k.tokens) AS n_tokens, g.p, g.s, g.n_doc FROM g JOIN (SELECT license, n, tokens, unnest(tokens) AS s FROM k) k ON g.s = k.s
 ), s AS (
-  SELECT doc_id, license, n_tokens, s, unnest(range(greatest(1, p + 5 - n), least(p, n_doc - n + 1) + 1)) AS start FROM h
+  SELECT doc_id, license, n_tokens, s, unnest(range(greatest(1, p + 5 - least(n, n_doc)), least(p, n_doc - least(n, n_doc) + 1) + 1)) AS start FROM h
 ), c AS (
   SELECT doc_id, license, start, CAST(count(DISTINCT s) AS DOUBLE) / n_tokens AS containment FROM s GROUP BY doc_id, license, n_tokens, start
 ), m AS (SELECT * FROM c WHERE containment >= 0.8)

@@ -476,3 +476,27 @@ def test_family_without_its_origin_is_linked_exactly(spark):
     name, _, group = brute_components(docs, 2, 80)
     assert got == {i: min(n for n, h in zip(name, group) if h == g) for i, g in zip(name, group)}
     assert len(set(got.values())) > 5
+
+
+def test_licenses_of_short_repeated_and_long_texts(spark):
+    """Against brute force, with texts shorter than a template, repeated ids, and columns named like those that are made."""
+    templates = {k: re.findall(r"\w+", v.lower()) for k, v in licenses.TEMPLATES.items()}
+    rng = random.Random(3)
+    short = "This work is licensed under the GNU General Public License, version"
+    long = sentence(rng, 3000) + " released under the terms of the isc license " + sentence(rng, 3000)
+    rows = [(1, short), (2, "Licensed under the Apache License"), (3, "under the terms of"), (4, long), (4, short), (5, None), (6, ""), (None, short), (7, "x " + licenses.TEMPLATES["MPL-2.0"] + " y")]
+    docs = spark.createDataFrame([(i, t, 1, "w", 2) for i, t in rows], "doc_id long, text string, n_words int, words string, start int")
+    best, found = {}, {}
+    for i, t in rows:
+        w = re.findall(r"[a-z0-9]+", (t or "").lower())
+        for name, own in templates.items():
+            tokens = {tuple(own[k : k + 5]) for k in range(len(own) - 4)}
+            n = min(len(own), len(w))
+            for s in range(len(w) - n + 1) if len(w) >= 5 and tokens else ():
+                share = len(tokens & {tuple(w[k : k + 5]) for k in range(s, s + n - 4)}) / len(tokens)
+                if share >= 0.8:
+                    best[i, name] = max(best.get((i, name), (0, 0)), (share, -s))
+                    found.setdefault((i, name), set()).add(s)
+    want = sorted(((i, name, share, -s, len(found[i, name])) for (i, name), (share, s) in best.items()), key=str)
+    assert (1, "GPL-2.0", 0.875, 0, 1) in want
+    assert sorted(map(tuple, licenses.license_matches(docs).collect()), key=str) == want
