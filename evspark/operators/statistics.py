@@ -1,4 +1,4 @@
-"""Tests, effect sizes, corrections and agreement as aggregates and rank windows; distribution functions as Arrow UDFs."""
+"""Tests, effect sizes, corrections and agreement as aggregates and rank windows; power by Arrow UDFs."""
 
 from __future__ import annotations
 
@@ -260,21 +260,6 @@ def incomplete_gamma(s: float, x: float) -> float:
     return 1 - front * h
 
 
-@F.pandas_udf(DoubleType())
-def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([incomplete_beta(n / 2, 0.5, n / (n + x * x)) for x, n in zip(t, df)])
-
-
-@F.pandas_udf(DoubleType())
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    return z.abs().map(lambda x: math.erfc(x / math.sqrt(2)))
-
-
-@F.pandas_udf(DoubleType())
-def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([1 - incomplete_gamma(n / 2, v / 2) for v, n in zip(x, df)])
-
-
 def t_upper(x: float, df: float) -> float:
     """The chance of a larger value of Student's t."""
     half = incomplete_beta(df / 2, 0.5, df / (df + x * x)) / 2
@@ -325,16 +310,6 @@ def cases_needed(effect: float, wanted: float = 0.8, alpha: float = 0.05, most:
     return low
 
 
-@F.pandas_udf(DoubleType())
-def t_greater(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_upper(x, n) for x, n in zip(t, df)])
-
-
-@F.pandas_udf(DoubleType())
-def f_tail(x: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    return pd.Series([incomplete_beta(b / 2, a / 2, b / (b + a * v)) if v > 0 else 1.0 for v, a, b in zip(x, df1, df2)])
-
-
 @F.pandas_udf(DoubleType())
 def power_of(effect: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([power(d, int(k)) for d, k in zip(effect, n)])

@@ -137,8 +137,3 @@ def benjamini_hochberg(spark, d):
 @query("lower_quantiles", "WITH l AS (SELECT l_returnflag, list_sort(list(l_quantity)) AS v FROM lineitem GROUP BY 1) SELECT l_returnflag, q, v[CAST(floor(q * (len(v) - 1)) AS BIGINT) + 1] AS value FROM l, (SELECT unnest([0.1::DOUBLE, 0.5, 0.9]) AS q)")
 def lower_quantiles(spark, d):
     return S.lower_quantiles(table(spark, d, "lineitem"), "l_quantity", "l_returnflag", (0.1, 0.5, 0.9))
-
-
-@query("p_values", None)
-def p_values(spark, d):
-    return S.welch(_ab(spark, d)).select("l_returnflag", "t", "df", S.t_two_sided("t", "df").alias("p_t"), S.normal_two_sided("t").alias("p_z"), S.chi2_tail(F.col("t") * F.col("t"), F.lit(1.0)).alias("p_chi2"))

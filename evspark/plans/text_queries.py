@@ -9,6 +9,7 @@ from evspark.functions import duck
 from evspark.functions import text as T
 from evspark.operators import fingerprint as P
 from evspark.operators import retrieval as R
+from evspark.sources.stored import stored
 from evspark.sources.tables import table
 
 QUERIES: dict = {}
@@ -172,13 +173,13 @@ def unknown_vocabulary(spark, d):
 PADDED = "list_distinct(list_transform(range(1, length(term) + 1), lambda i: substring('$' || term || '$', i, 3)))"
 
 
-@query("fuzzy_expansion", f"""WITH {TURN_TERMS}, v AS (SELECT DISTINCT unnest({duck.tokens('text')}) AS term FROM benchmark), k AS (SELECT * FROM u WHERE length(term) >= 5 AND term NOT IN (SELECT term FROM v)),
+@query("fuzzy_expansion", f"""WITH {TURN_TERMS}, v AS (SELECT DISTINCT unnest({duck.tokens('text')}) AS term FROM documents), k AS (SELECT * FROM u WHERE length(term) >= 5 AND term NOT IN (SELECT term FROM v)),
 a AS (SELECT term, len(g) AS n, unnest(g) AS gram FROM (SELECT DISTINCT term, {PADDED} AS g FROM k)), b AS (SELECT term AS candidate, len(g) AS m, unnest(g) AS gram FROM (SELECT term, {PADDED} AS g FROM v)),
 s AS (SELECT term, candidate, CAST(count(*) AS DOUBLE) / (n + m - count(*)) AS similarity FROM a JOIN b USING (gram) GROUP BY term, candidate, n, m),
 r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY similarity DESC, candidate) AS rank FROM s WHERE similarity >= 0.45)
 SELECT query, term, candidate, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM k JOIN r USING (term) WHERE rank <= 2""")
 def fuzzy_expansion(spark, d):
-    vocabulary = T.exploded_terms(table(spark, d, "benchmark").select("text"), "text").distinct()
+    vocabulary = stored(T.exploded_terms(table(spark, d, "documents").select("text"), "text").distinct(), "vocabulary")
     return R.expanded(_turn_terms(spark, d), vocabulary).withColumn("similarity", F.round("similarity", 6))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evspark.operators import claims as V
 from evspark.operators import learners as L
 from evspark.operators import sequences as Q
+from evspark.functions import chances as C
 from evspark.operators import statistics as S
 
 letters = st.lists(st.sampled_from("abc"), max_size=7)
@@ -69,7 +70,7 @@ def test_power_and_tails(spark):
     assert S.power(S.detectable(64), 64) == pytest.approx(0.8, abs=1e-6)
     assert S.t_quantile(0.975, 10) == pytest.approx(2.228139, abs=1e-5) and S.t_quantile(0.05, 5) == pytest.approx(-2.015048, abs=1e-5)
     df = spark.createDataFrame([(3.0, 2.0, 10.0)], "x double, a double, b double")
-    f, t = df.select(S.f_tail("x", "a", "b"), S.t_greater(F.lit(2.0), F.lit(10.0))).first()
+    f, t = df.select(C.f_tail(F.col("x"), F.col("a"), F.col("b")), C.t_tail(F.lit(2.0), F.lit(10.0))).first()
     assert f == pytest.approx(1.6**-5) and t == pytest.approx(0.036694, abs=1e-5)
 
 
