@@ -144,10 +144,11 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, within: float = 1e-12)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def diversified(pool: DataFrame, vectors: DataFrame, k: int, relevance: float = 0.72) -> DataFrame:
+def diversified(pool: DataFrame, vectors: DataFrame, k: int, relevance: float = 0.72, kinds: DataFrame | None = None, apart: float = 0.55) -> DataFrame:
     """query, doc, pick: k documents of each query's pool (query, doc, score; a bounded number for each query), one by one by
     the largest relevance times score, scaled to 0..1 in the pool, less (1 - relevance) times the largest cosine with
-    those picked before, 0 at least; ties go to the smaller doc. Documents without vector resemble none."""
+    those picked before, 0 at least; ties go to the smaller doc. Documents without vector resemble none. Where kinds (doc,
+    kind) are given, documents of different known kinds resemble each other less, by the factor `apart`."""
     own = [c for c in vectors.columns if c != "doc"]
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
@@ -162,11 +163,16 @@ def diversified(pool: DataFrame, vectors: DataFrame, k: int, relevance: float =
             value = np.round(relevance * scaled - (1 - relevance) * met, 9)
             value[chosen] = -np.inf
             chosen.append(int(value.argmax()))
-            met = np.maximum(met, x @ x[chosen[-1]])
+            like = x @ x[chosen[-1]]
+            if kinds is not None:
+                kind = rows["kind"]
+                like = np.where(kind.notna() & (kind != kind[chosen[-1]]) & pd.notna(kind[chosen[-1]]), apart * like, like)
+            met = np.maximum(met, like)
         return rows.loc[chosen, ["query", "doc"]].assign(pick=np.arange(1, len(chosen) + 1, dtype=np.int32))
 
-    kinds = f"query {pool.schema['query'].dataType.simpleString()}, doc {pool.schema['doc'].dataType.simpleString()}, pick int"
-    return pool.select("query", "doc", "score").join(vectors, "doc", "left").groupBy("query").applyInPandas(pick, kinds)
+    schema = f"query {pool.schema['query'].dataType.simpleString()}, doc {pool.schema['doc'].dataType.simpleString()}, pick int"
+    rows = pool.select("query", "doc", "score").join(vectors, "doc", "left")
+    return (rows if kinds is None else rows.join(kinds.select("doc", "kind"), "doc", "left")).groupBy("query").applyInPandas(pick, schema)
 
 
 def cosines(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -38,10 +38,15 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, query_text: str, d
     """
     index = indexed(docs, doc_key, doc_text) if index is None else index
     wanted = exploded_terms(queries.select(F.col(query_key).alias("query"), F.col(query_text).alias("text")), "text").distinct()
+    return bm25_terms(wanted, index, docs.agg(F.count("*").alias("n")), k1, b)
+
+
+def bm25_terms(wanted: DataFrame, index: DataFrame, n_docs: DataFrame, k1: float = 1.35, b: float = 0.72) -> DataFrame:
+    """query, doc, score of documents (index: doc, term, tf) that share one of a query's distinct terms (wanted: query, term)."""
     known = index.join(wanted.select("term").distinct(), "term", "left_semi")
     sized = index.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    n, terms = docs.agg(F.count("*").alias("n")), index.agg(F.sum("tf").alias("terms"))  # one row each
-    total = n.join(terms, how="cross").select("n", (F.col("terms") / F.col("n")).alias("avgdl"))
+    terms = index.agg(F.sum("tf").alias("terms"))  # one row, as n_docs
+    total = n_docs.join(terms, how="cross").select("n", (F.col("terms") / F.col("n")).alias("avgdl"))
     weighed = known.join(bm25_idf(known, total), "term").join(sized, "doc").join(F.broadcast(total), how="cross")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return weighed.select("term", "doc", part.alias("part")).join(wanted, "term").groupBy("query", "doc").agg(F.sum("part").alias("score"))
