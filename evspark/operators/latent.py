@@ -164,7 +164,7 @@ def diversified(pool: DataFrame, vectors: DataFrame, k: int, relevance: float =
             value[chosen] = -np.inf
             chosen.append(int(value.argmax()))
             like = x @ x[chosen[-1]]
-            if kinds is not None:
+            if "kind" in rows:
                 kind = rows["kind"]
                 like = np.where(kind.notna() & (kind != kind[chosen[-1]]) & pd.notna(kind[chosen[-1]]), apart * like, like)
             met = np.maximum(met, like)

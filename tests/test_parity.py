@@ -22,7 +22,7 @@ def rows(df):
     def plain(x):
         if x is None or isinstance(x, float) and math.isnan(x):
             return "null"
-        return f"{float(x):.5f}" if "float" in type(x).__name__ else str(x)
+        return f"{float(x):.9f}" if "float" in type(x).__name__ else str(x)
 
     return sorted(tuple(plain(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
@@ -33,8 +33,7 @@ def test_same_rows_as_sql(spark, data, duck, name):
     assert sorted(ours.columns) == sorted(theirs.columns)
     a, b = rows(ours), rows(theirs)
     assert len(a) == len(b) > 0
-    close = sum(x == y or all(p == q or abs(float(p) - float(q)) < 2e-5 for p, q in zip(x, y)) for x, y in zip(a, b))
-    assert close == len(a)
+    assert a == b
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
