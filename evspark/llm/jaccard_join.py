@@ -250,9 +250,9 @@ def met(packed: DataFrame, cost, n_places: int, together: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
-    """a, b (nodes) of those of pairs (ca, cb: classes) whose sketches differ little and whose full sets are similar enough."""
-    signed = nodes.select("class", "node", "sketch", "n_shingles")
-    both = pairs.join(signed.toDF("ca", "a", "sa", "na"), "ca").join(signed.toDF("cb", "b", "sb", "nb"), "cb")
+    """Those of pairs (a, b: nodes) whose sketches differ little and whose full sets are similar enough."""
+    signed = nodes.select("node", "class", "sketch", "n_shingles")
+    both = pairs.join(signed.toDF("a", "ca", "sa", "na"), "a").join(signed.toDF("b", "cb", "sb", "nb"), "b")
     bits = [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(WORDS)]
     sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     near = both.filter(sized & (sum(bits[1:], bits[0]) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)))
@@ -292,7 +292,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     roots = signed.groupBy("class").agg(F.min("id").alias("node"), F.count("*").alias("n_rows"))
     first = signed.filter("n_shingles > 0 AND id IS NOT NULL").join(roots.select("class", F.col("node").alias("id")), ["class", "id"])
     nodes = written(first.dropDuplicates(["class"]).withColumnRenamed("id", "node"), "nodes")
-    of_id = signed.filter("n_shingles > 0 AND id IS NOT NULL").select("id", "class").distinct().join(roots.select("class", "node"), "class")
+    of_id = signed.filter("n_shingles > 0 AND id IS NOT NULL").select("id", "class").distinct().join(roots.select("class", "node"), "class").select("id", "node")
 
     often = costs(docs, width, percent, key, text)
     n_places = max(1, -(-int(often.sum()) // place_rows))
@@ -305,13 +305,13 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     stars = written(rows.filter("asks").select("id", "head").unionByName(heads).filter("id <> head").distinct(), "stars")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return confirmed(pairs.filter("ca <> cb").distinct(), nodes, docs, width, percent, key, text)
+        return confirmed(pairs.filter("a <> b").distinct(), nodes, docs, width, percent, key, text)
 
-    of_head = of_id.select(F.col("id").alias("head"), F.col("class").alias("cb"))
-    links = confirm(stars.join(of_id, "id").join(of_head, "head").select(F.greatest("class", "cb").alias("ca"), F.least("class", "cb").alias("cb")))
+    of_head = of_id.toDF("head", "other")
+    links = confirm(stars.join(of_id, "id").join(of_head, "head").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")))
     # a text that several tasks met stands once in each group
     role = F.col("role")
-    rows = written(rows.join(of_id, "id").groupBy("hash", "node", "class").agg(F.max(F.when(role < 4, role)).alias("whole"), F.max(F.when(role >= 4, role)).alias("cut")), "groups")
+    rows = written(rows.join(of_id, "id").groupBy("hash", "node").agg(F.max(F.when(role < 4, role)).alias("whole"), F.max(F.when(role >= 4, role)).alias("cut")), "groups")
     several, of_ids = links_of_ids(signed, roots)
     if several is not None:
         links = links.unionByName(of_ids)
@@ -326,19 +326,19 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
 
 
 def mixed_groups(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    """hash, class, role, component, main: the rows of groups that hold several components, with the component most frequent there."""
+    """hash, node, role, component, main, n (rows of the group): the rows of groups that hold several components, with the component most frequent there."""
     named_ = rows.withColumn("component", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named_.groupBy("hash", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("hash").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m")).filter("k > 1").select("hash", "n", F.col("m.component").alias("main"))
     each = F.explode(F.filter(F.array("whole", "cut"), lambda r: r.isNotNull()))
-    return written(named_.join(main, "hash").select("hash", "class", each.alias("role"), "component", "main", "n"), "mixed")
+    return written(named_.join(main, "hash").select("hash", "node", each.alias("role"), "component", "main", "n"), "mixed")
 
 
 def by_other_pivot(mixed: DataFrame) -> DataFrame:
     """Each row of a mixed group with a whole part of another component, chosen by a hash that differs from group to group."""
-    pivot = mixed.filter("role < 4").groupBy("hash").agg(F.min(F.struct(F.xxhash64("hash", "class").alias("h"), "class", "component", "role")).alias("p"))
+    pivot = mixed.filter("role < 4").groupBy("hash").agg(F.min(F.struct(F.xxhash64("hash", "node").alias("h"), "node", "component", "role")).alias("p"))
     pairs = mixed.join(pivot, "hash").withColumn("_r", F.col("p.role")).filter((F.col("component") != F.col("p.component")) & looked_up("role", "_r"))
-    return pairs.select(F.greatest("class", "p.class").alias("ca"), F.least("class", "p.class").alias("cb"))
+    return pairs.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b"))
 
 
 def across(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -346,17 +346,16 @@ def across(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     group's main component, as far as their sizes and sketches let them be similar. Rows of a group are compared in numpy,
     those outside with BLOCK of all at a time; only pairs that pass become rows."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    signed = mixed.join(nodes.select("class", "sketch", "n_shingles"), "class").withColumn("parts", parts)
-    columns = ["hash", "part", "outer", "class", "component", "role", "n_shingles", "sketch"]
-    every = signed.withColumns({"part": F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"), "outer": F.lit(False)}).select(columns)
+    signed = mixed.join(nodes.select("node", "sketch", "n_shingles"), "node").withColumn("parts", parts)
+    columns = ["hash", "part", "outer", "node", "component", "role", "n_shingles", "sketch"]
+    every = signed.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "outer": F.lit(False)}).select(columns)
     outer = signed.filter("component <> main").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "outer": F.lit(True)}).select(columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, inner = None, []
 
         def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
-            plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 6)]
-            return [np.array(batch.column(3).to_pylist(), dtype=object), *plain, batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)]
+            return [*(batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)), batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)]
 
         def passing(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             step = max(1, (1 << 16) // len(y[0]))
@@ -371,7 +370,7 @@ def across(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 near = differ * (100 + percent) <= (n[i] + y[3][j]) * (100 - percent)
                 a, b = names[i[near]], y[0][j[near]]
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.binary()), pa.array(np.minimum(a, b), pa.binary())], ["ca", "cb"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
         for batch in batches:
             key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)], 1)
@@ -388,7 +387,7 @@ def across(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         tidy()
 
     rows = every.unionByName(outer).repartition("hash", "part").sortWithinPartitions("hash", "part", "outer")
-    return rows.mapInArrow(compare, "ca binary, cb binary")
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def op13_jaccard_join(spark, sf_dir: str) -> DataFrame:
