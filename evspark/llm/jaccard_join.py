@@ -48,6 +48,8 @@ SPREAD = 16
 PLACE_ROWS, TOGETHER, MOST_PARTS = 1 << 20, 2000, 64
 #: Rows of a group that others are compared with at a time.
 BLOCK = 4096
+#: Rows of a block, rows that are compared with it too, rows that are only compared with it; in the order in which they come.
+INNER, BOTH, OUTER = 0, 1, 2
 #: Index rows that a task holds before it hands them on.
 HELD = 1 << 20
 
@@ -152,7 +154,7 @@ def costs(docs: DataFrame, width: int, percent: int, key: str, text: str) -> np.
 
 
 def index_rows(docs: DataFrame, cost, n_places: int, together: int, width: int, percent: int, key: str, text: str) -> DataFrame:
-    """place, hashes, ids, roles: packed index rows of all rows with an id and words; a text that a task meets again under
+    """place, hashes, ids (from `least` on), roles, least: packed index rows of all rows with an id and words; a text that a task meets again under
     another id is left out, as equal texts are linked anyway. A role is the allocation of a whole part (0 to 2), and 4 more
     for a deletion."""
 
@@ -172,8 +174,11 @@ def index_rows(docs: DataFrame, cost, n_places: int, together: int, width: int,
             own, starts = np.unique(place[order], return_index=True)
             cuts = [*starts.tolist(), len(order)]
             hashes, ids, roles = hashes[order], ids[order], roles[order]
+            least = int(ids.min())
+            ids = ids.view(np.uint64) - np.uint64(least & (1 << 64) - 1)  # from the least one, in half the bytes where they fit
+            ids = ids.astype(np.uint32) if int(ids.max()) < 1 << 32 else ids
             packed = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for x in (hashes, ids, roles)]
-            yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(x, pa.binary()) for x in packed)], ["place", "hashes", "ids", "roles"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(x, pa.binary()) for x in packed), pa.array(np.full(len(own), least))], ["place", "hashes", "ids", "roles", "least"])
 
         for batch in batches:
             for i, name, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_of(batch.column(2), width)):
@@ -195,7 +200,7 @@ def index_rows(docs: DataFrame, cost, n_places: int, together: int, width: int,
             yield from dealt()
         tidy()
 
-    return keyed(docs, key, text).mapInArrow(index, "place long, hashes binary, ids binary, roles binary")
+    return keyed(docs, key, text).mapInArrow(index, "place long, hashes binary, ids binary, roles binary, least long")
 
 
 def met(packed: DataFrame, cost, n_places: int, together: int) -> DataFrame:
@@ -235,12 +240,14 @@ def met(packed: DataFrame, cost, n_places: int, together: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["hash", "id", "role", "head", "asks", "dealt"])
 
         for batch in batches:
-            for p, *columns in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+            for p, hashes, ids, roles, least in zip(*(c.to_pylist() for c in batch.columns)):
                 if p != place and waiting:
                     yield from shared()
                     waiting = []
                 place = p
-                waiting.append([np.frombuffer(c.as_py(), t) for c, t in zip(columns, (np.uint64, np.int64, np.uint8))])
+                whole = np.uint64 if len(ids) == len(hashes) else np.uint32
+                ids = np.frombuffer(ids, whole).astype(np.uint64) + np.uint64(least & (1 << 64) - 1)
+                waiting.append([np.frombuffer(hashes, np.uint64), ids.view(np.int64), np.frombuffer(roles, np.uint8)])
         if waiting:
             yield from shared()
         tidy()
@@ -320,18 +327,29 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
         mixed = mixed_groups(rows, found)
         if mixed.isEmpty():
             break
-        links = links.unionByName(confirm(across(mixed, nodes, percent) if last else by_other_pivot(mixed)))
+        links = links.unionByName(confirm(across(merged(mixed), nodes, percent) if last else by_other_pivot(mixed)))
         found = components(links, "a", "b")
     return labelled(signed, roots, found, several, key).drop("kept")
 
 
 def mixed_groups(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    """hash, node, role, component, main, n (rows of the group): the rows of groups that hold several components, with the component most frequent there."""
+    """hash, node, role, component, main, n, alike: the rows of groups that hold several components, with the component most
+    frequent there, the number of rows and a signature of the nodes, which groups of the same nodes have in common."""
     named_ = rows.withColumn("component", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = named_.groupBy("hash", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("hash").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m")).filter("k > 1").select("hash", "n", F.col("m.component").alias("main"))
+    sizes = named_.groupBy("hash", "component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("alike"))
+    main = sizes.groupBy("hash").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m"), F.bit_xor("alike").alias("alike"))
+    main = main.filter("k > 1").select("hash", "n", F.col("m.component").alias("main"), "alike")
     each = F.explode(F.filter(F.array("whole", "cut"), lambda r: r.isNotNull()))
-    return written(named_.join(main, "hash").select("hash", "node", each.alias("role"), "component", "main", "n"), "mixed")
+    return written(named_.join(main, "hash").select("hash", "node", each.alias("role"), "component", "main", "n", "alike"), "mixed")
+
+
+def merged(mixed: DataFrame) -> DataFrame:
+    """mixed groups of the same nodes as one: each node has the larger of its roles there, so that no pair that is looked up
+    in one of them is left out (some that aren't may come in). Near texts share many parts, and so many such groups."""
+    whole, cut = F.max(F.when(F.col("role") < 4, F.col("role"))).alias("whole"), F.max(F.when(F.col("role") >= 4, F.col("role"))).alias("cut")
+    one = mixed.groupBy("alike", "n", "main", "node", "component").agg(whole, cut)
+    each = F.explode(F.filter(F.array("whole", "cut"), lambda r: r.isNotNull()))
+    return one.select(F.xxhash64("alike", "n", "main").alias("hash"), "node", each.alias("role"), "component", "main", "n")
 
 
 def by_other_pivot(mixed: DataFrame) -> DataFrame:
@@ -344,15 +362,17 @@ def by_other_pivot(mixed: DataFrame) -> DataFrame:
 def across(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs of rows of different components that share a group and are looked up there, of which one is outside the
     group's main component, as far as their sizes and sketches let them be similar. Rows of a group are compared in numpy,
-    those outside with BLOCK of all at a time; only pairs that pass become rows."""
+    those outside with BLOCK of all at a time; only pairs that pass become rows. Rows of a group of one block travel once."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     signed = mixed.join(nodes.select("node", "sketch", "n_shingles"), "node").withColumn("parts", parts)
-    columns = ["hash", "part", "outer", "node", "component", "role", "n_shingles", "sketch"]
-    every = signed.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "outer": F.lit(False)}).select(columns)
-    outer = signed.filter("component <> main").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "outer": F.lit(True)}).select(columns)
+    columns = ["hash", "part", "place", "node", "component", "role", "n_shingles", "sketch"]
+    outside, one = F.col("component") != F.col("main"), F.col("parts") == 1
+    place = F.when(outside & one, BOTH).otherwise(INNER)
+    every = signed.withColumns({"part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "place": place}).select(columns)
+    outer = signed.filter(outside & ~one).withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "place": F.lit(OUTER)}).select(columns)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, inner = None, []
+        group, inner, both = None, [], []
 
         def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
             return [*(batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)), batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)]
@@ -372,21 +392,29 @@ def across(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
+        def joined(rows: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+            return [[np.concatenate(c) for c in zip(*rows)]]
+
         for batch in batches:
-            key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)], 1)
+            key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.zeros(0, np.int64)
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
                 if tuple(key[a, :2]) != group:
-                    group, inner = tuple(key[a, :2]), []
+                    if both:
+                        yield from passing(joined(both)[0], joined(inner)[0])
+                    group, inner, both = tuple(key[a, :2]), [], []
                 rows = unpacked(batch.slice(a, b - a))
-                if not key[a, 2]:
+                if key[a, 2] != OUTER:
                     inner.append(rows)
+                    both += [rows] if key[a, 2] == BOTH else []
                 elif inner:  # rows of a part come before those that are compared with them
-                    inner = [[np.concatenate(c) for c in zip(*inner)]]
+                    inner = joined(inner)
                     yield from passing(rows, inner[0])
+        if both:
+            yield from passing(joined(both)[0], joined(inner)[0])
         tidy()
 
-    rows = every.unionByName(outer).repartition("hash", "part").sortWithinPartitions("hash", "part", "outer")
+    rows = every.unionByName(outer).repartition("hash", "part").sortWithinPartitions("hash", "part", "place")
     return rows.mapInArrow(compare, "a long, b long")
 
 

@@ -199,6 +199,14 @@ def test_jaccard_join(spark, odd, width, percent, together, place_rows):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute_joined(rows, width, percent), key=str)
 
 
+def test_jaccard_join_in_small_blocks_of_far_ids(spark, odd, monkeypatch):
+    """Mixed groups are dealt to several blocks, ids don't fit into four bytes."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    rows = [(i if i is None else (i - 300) << 45, t) for i, t in odd + families(3)]
+    got = jaccard_join.jaccard_join(table_of(spark, rows), 2, 70)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(brute_joined(rows, 2, 70), key=str)
+
+
 def test_jaccard_join_of_nothing(spark, odd):
     assert jaccard_join.jaccard_join(table_of(spark, odd).filter(F.lit(False))).count() == 0
 
