@@ -91,14 +91,16 @@ def wilcoxon(pairs: DataFrame, d: Column) -> DataFrame:
 
 
 def chi_square(rows: DataFrame, r: str, c: str) -> DataFrame:
-    """chi2, df and sparse (cells expected below 5) over the dense grid of two categories."""
+    """chi2, df and sparse (cells expected below 5) over the dense grid of two categories; an empty table has null, 0 and 0.
+    Rows with a null in a category don't count."""
+    rows = rows.filter(F.col(r).isNotNull() & F.col(c).isNotNull())
     cells = rows.groupBy(r, c).agg(F.count("*").alias("n"))
     by_r, by_c = cells.groupBy(r).agg(F.sum("n").alias("nr")), cells.groupBy(c).agg(F.sum("n").alias("nc"))
     total = cells.agg(F.sum("n").alias("total"))
     grid = by_r.join(by_c, how="cross").join(total, how="cross").join(cells, [r, c], "left")  # categories only
     expected = F.col("nr") * F.col("nc") / F.col("total")
     part = F.pow(F.coalesce("n", F.lit(0)) - expected, 2) / expected
-    return grid.agg(F.sum(F.when(expected > 0, part)).alias("chi2"), ((F.countDistinct(r) - 1) * (F.countDistinct(c) - 1)).alias("df"), F.count(F.when(expected < 5, 1)).alias("sparse"))
+    return grid.agg(F.sum(F.when(expected > 0, part)).alias("chi2"), (F.greatest(F.countDistinct(r) - 1, F.lit(0)) * F.greatest(F.countDistinct(c) - 1, F.lit(0))).alias("df"), F.count(F.when(expected < 5, 1)).alias("sparse"))
 
 
 def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -133,8 +135,9 @@ def multilabel(gold: DataFrame, predicted: DataFrame, item: str, label: str) ->
 
 
 def ranked_tests(tests: DataFrame, p: str, label: str) -> DataFrame:
-    """tests, distinct by p and label, with n (all of them) and rank, numbered range by range; _part is the range."""
-    parts = ranged(tests, p, label)
+    """tests, distinct by p and label, with n (all of them) and rank, numbered range by range; _part is the range.
+    Tests without p take no part."""
+    parts = ranged(tests.filter(F.col(p).isNotNull()), p, label)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
     every = Window.partitionBy(F.lit(0))
     sizes = sizes.withColumns({"n": F.sum("_n").over(every), "_shift": F.coalesce(F.sum("_n").over(every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).drop("_n")

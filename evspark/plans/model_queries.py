@@ -128,7 +128,7 @@ def irt_3pl(spark, d):
 l AS (SELECT user_id, t, sum(CASE WHEN c THEN ln(0.2::DOUBLE + 0.8::DOUBLE / (1 + exp(-(t - b)))) ELSE ln(1 - (0.2::DOUBLE + 0.8::DOUBLE / (1 + exp(-(t - b))))) END) AS ll FROM a, g GROUP BY ALL), m AS (SELECT user_id, max(ll - t * t / 2) AS top FROM l GROUP BY 1), w AS (SELECT l.user_id, t, ll, exp(ll - t * t / 2 - top) AS w FROM l JOIN m ON l.user_id = m.user_id)
 SELECT user_id, round(sum(w * t) / sum(w), 5) AS eap, round(sqrt(sum(w * t * t) / sum(w) - power(sum(w * t) / sum(w), 2)), 5) AS sd, -max({'l': round(ll, 9), 't': -t}).t AS argmax FROM w GROUP BY user_id""")
 def abilities(spark, d):
-    answers = table(spark, d, "events").select("user_id", ((F.col("event_id") % 9 - 4) / 2).alias("b"), (F.col("event_type") == "purchase").alias("correct"))
+    answers = table(spark, d, "events").select("user_id", ((F.col("event_id") % 9 - 4) / 2).alias("b"), F.col("event_type").eqNullSafe("purchase").alias("correct"))
     return L.abilities(answers, "user_id", "b", "correct").withColumns({"eap": F.round("eap", 5), "sd": F.round("sd", 5)})
 
 
