@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.functions.text import exploded_terms
+from evspark.operators.statistics import with_sum_before
 from evspark.sources.stored import stored
 
 
@@ -118,8 +119,12 @@ def unknown_vocabulary(terms: DataFrame, index: DataFrame, n_docs: DataFrame) ->
 
 
 def within_budget(ranked: DataFrame, group: str, rank: str, size: Column, budget: int) -> DataFrame:
-    """Each group's rows in order of rank as long as their sizes together stay within budget."""
-    return ranked.withColumn("used", F.sum(size).over(Window.partitionBy(group).orderBy(rank))).filter(F.col("used") <= budget)
+    """Each group's rows in order of rank as long as their sizes together (used) stay within budget. Sums run within ranges,
+    so no task holds a whole group. Rows of one rank stay or go together, null sizes are 0, nulls are a group and a rank."""
+    keyed = ranked.withColumns({"_group": F.struct(group), "_rank": F.struct(rank)})  # of structs nulls are equal
+    sizes = keyed.groupBy("_group", "_rank").agg(F.coalesce(F.sum(size), F.lit(0)).alias("_size"))
+    kept = with_sum_before(sizes, ["_group"], "_rank", "_size").withColumn("used", F.col("before") + F.col("_size")).filter(F.col("used") <= budget)
+    return keyed.join(kept.select("_group", "_rank", "used"), ["_group", "_rank"]).select(*ranked.columns, "used")
 
 
 def lexical_support(claims: DataFrame, cards: DataFrame, index: DataFrame, n_docs: DataFrame) -> DataFrame:

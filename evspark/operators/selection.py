@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evspark.operators.statistics import with_sum_before
+
 
 def stable_unit(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone: the first 52 bits of their hash."""
@@ -19,8 +21,10 @@ def sampled(rows: DataFrame, by: list[str], key: str, k: int, seed: str) -> Data
 
 
 def interleaved(ranked: DataFrame, source: str, turn: str) -> DataFrame:
-    """ranked lists, of bounded length each, with their rows' place when the lists take turns."""
-    return ranked.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(turn, source)))
+    """ranked lists with their rows' place when the lists take turns, numbered range by range. Nulls come first; rows of one
+    list and turn, which should be one, get places of their own in any order."""
+    numbered = with_sum_before(ranked.withColumns({"_turn": F.struct(turn, source), "_one": F.lit(1)}), [], "_turn", "_one")
+    return numbered.select(*ranked.columns, (F.col("before") + 1).cast("int").alias("place"))
 
 
 def most_common(rows: DataFrame, by: str, value: str) -> DataFrame:
