@@ -11,7 +11,7 @@ from evspark.llm.common import written
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -20,16 +20,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return told.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, a: str, b: str, steps: int = 60) -> DataFrame | None:
-    """node, component (its smallest node) of every node that has a link to another; None if there is no link."""
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller one at most, and none where a greater one has an edge to it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 AND up > 0").isEmpty()
+
+
+def components(links: DataFrame, a: str, b: str, steps: int = 60, found: DataFrame | None = None) -> DataFrame | None:
+    """node, component (its smallest node) of every node that has a link to another; None if there is no link. `found` is such
+    a table for other links, which count too."""
+    links = links.select(a, b) if found is None else links.select(a, b).unionByName(found.toDF(a, b))
     edges = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    was = None
-    for _ in range(steps):
+    for step in range(steps):
         edges = written(edges, "stars")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
-        if not now[0]:
+        if not step and edges.isEmpty():
             return None
-        if now == was:
+        if _stars(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        was, edges = now, _small_star(_large_star(edges))
+        edges = _small_star(_large_star(edges))
     raise RuntimeError(f"components didn't settle in {steps} steps")

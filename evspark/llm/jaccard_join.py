@@ -327,8 +327,9 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
         mixed = mixed_groups(rows, found)
         if mixed.isEmpty():
             break
-        links = links.unionByName(confirm(across(merged(mixed), nodes, percent) if last else by_other_pivot(mixed)))
-        found = components(links, "a", "b")
+        links = confirm(across(merged(mixed), nodes, percent) if last else by_other_pivot(mixed))
+        if not links.isEmpty():
+            found = components(links, "a", "b", found=found)
     return labelled(signed, roots, found, several, key).drop("kept")
 
 

@@ -181,8 +181,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         if mixed.isEmpty():
             break
         pairs = across(mixed, nodes, texts, width, percent) if last else by_band_pivot(mixed)
-        links = links.unionByName(confirmed(pairs, nodes, texts, width, percent))
-        found = components(links, "a", "b")
+        links = confirmed(pairs, nodes, texts, width, percent)
+        if not links.isEmpty():
+            found = components(links, "a", "b", found=found)
 
     return labelled(signed, roots, found, several, key)
 

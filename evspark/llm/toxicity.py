@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm.common import named, table
+from evspark.llm.common import named, table, tidy
 from evspark.llm.shingles import PUNCTUATION, blocks, runs_of_words, span_hashes
 
 #: Labelled documents to learn from, of grade 0 and of the others each, about.
@@ -241,7 +241,10 @@ def severity(docs: DataFrame, model: Severity, keep: list[str], text: str = "tex
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
     """A model of docs' toxic labels."""
     texts, toxic, clean_weight = graded_sample(docs, labels, "doc_id", "text", "toxic", sample)
-    return fit(texts, graded_by_marks(texts, toxic), clean_weight)
+    model = fit(texts, graded_by_marks(texts, toxic), clean_weight)
+    del texts, toxic
+    tidy()  # the driver lives on
+    return model
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
