@@ -1,8 +1,8 @@
 """Alignment of two tokenizers' tokens over whole texts, with corpus-wide counts of the id pairs that it links.
 
 Both token sequences spell the same bytes, so each is an array of ends. Where the arrays agree at the present shift of
-indices, tokens are one to one; such stretches are jumped by probes of doubling, then halving length, each one comparison
-of memory. An irregular group, whose tokens' ends differ until both meet again, is walked token by token and changes the
+indices, tokens are one to one; such stretches are jumped by probes of doubling length, each one comparison of memory, and
+end at the lowest bit in which the last probe differs. An irregular group, whose tokens' ends differ until both meet again, is walked token by token and changes the
 shift. An A and a B token are linked where their bytes overlap.
 
 Texts are encoded once; each row's distinct pairs are written with it. Tasks add pairs up before they are shuffled. The
@@ -83,6 +83,13 @@ class Bytewise:
             return self.quick.encode_ordinary(text)
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def spells(self, text: str, ids: list[int], tokens: np.ndarray, want: bytes) -> bool:
+        """Whether a text's ids, which are also given as numbers, spell its bytes `want`. The quick library's tokens are the
+        text's own bytes in order, so there the lengths tell whether any are missing."""
+        if _PLAIN.fullmatch(text):
+            return int(self.lengths[tokens].sum()) == len(want)
+        return b"".join(map(self.spelt.__getitem__, ids)) == want
+
 
 class Pieces:
     """Token ids of sentence pieces, and each id's bytes."""
@@ -113,14 +120,14 @@ def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     pa_, pb, ea, eb = a.tobytes(), b.tobytes(), array("q", a.tobytes()), array("q", b.tobytes())
     ri, rj, rk, xa, xb, i, j, n = [], [], [], [], [], 0, 0, len(ea)  # runs of ends that agree; links where they don't
     while i < n:
-        k, step, growing = 0, 4, True
-        while step:
-            x = pa_[8 * (i + k) : 8 * (i + k + step)]
-            if x and x == pb[8 * (j + k) : 8 * (j + k + step)]:
-                k += len(x) >> 3
-            else:
-                growing = False
-            step = step << 1 if growing else step >> 1
+        k, step = 0, 8
+        while i + k < n:
+            x, y = pa_[8 * (i + k) : 8 * (i + k + step)], pb[8 * (j + k) : 8 * (j + k + step)]
+            if x != y:  # the lowest bit that differs tells the first end that does
+                differ = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
+                k += (differ & -differ).bit_length() - 1 >> 6
+                break
+            k, step = k + (len(x) >> 3), step << 1
         if k:
             ri.append(i)
             rj.append(j)
@@ -147,9 +154,9 @@ class Spelling:
 
     def __init__(self, n: int):
         self.n = n
-        self.table = [f"{i}{mark}" for mark in ",|;" for i in range(n)]
+        self.table = np.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(n)])
 
-    def __call__(self, a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> str:
+    def __call__(self, a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> bytes:
         out = np.empty(len(a) + len(b), np.int64)
         before_a, before_b = np.concatenate([[0], ga[:-1]]), np.concatenate([[0], gb[:-1]])
         a, b = a.copy(), b.copy()
@@ -157,7 +164,8 @@ class Spelling:
         b[gb - 1] += 2 * self.n
         out[np.arange(len(a)) + np.repeat(before_b, ga - before_a)] = a
         out[np.arange(len(b)) + np.repeat(ga, gb - before_b)] = b
-        return "".join(map(self.table.__getitem__, out.tolist()))[:-1]
+        shown = self.table[out].view(np.uint8)
+        return shown[shown > 0].tobytes()[:-1]
 
 
 def _sliced(x: np.ndarray) -> bytes:
@@ -194,11 +202,11 @@ def links(docs: DataFrame, a_path: str, b_path: str, key: str, text: str, keep:
                 if text_:
                     spaced = " " + text_
                     ia, ib, want = one.ids(spaced), other.ids(text_), spaced.encode()
-                    if b"".join(map(one.spelt.__getitem__, ia)) == want == b"".join(map(other.spelt.__getitem__, ib)):
-                        xa, xb = np.array(ia, np.int64), np.array(ib, np.int64)
+                    xa, xb = np.fromiter(ia, np.int64, len(ia)), np.fromiter(ib, np.int64, len(ib))
+                    if one.spells(spaced, ia, xa, want) and b"".join(map(other.spelt.__getitem__, ib)) == want:
                         la, lb, ga, gb = aligned(np.cumsum(one.lengths[xa]), np.cumsum(other.lengths[xb]))
                         pairs, times = np.unique(xa[la] * wide + xb[lb], return_counts=True)
-                        digest = sha256(spelling(xa, xb, ga, gb).encode()).hexdigest()
+                        digest = sha256(spelling(xa, xb, ga, gb)).hexdigest()
                         made.append((len(ia), len(ib), len(ga), len(la), digest, row, _sliced(np.diff(pairs, prepend=0)), _sliced(times)))
                         continue
                 made.append((*nothing, row, b"", b""))

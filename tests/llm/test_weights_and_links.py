@@ -162,6 +162,28 @@ def test_both_libraries_agree_on_plain_texts():
         assert one.ids(text) == one.library.encode(text, add_special_tokens=False).ids
 
 
+def test_runs_end_at_the_first_end_that_differs():
+    """Runs of every length around those of probes, then an irregular group, and groups' texts with ids of all lengths."""
+    spelling = alignment.Spelling(70000)
+    for k in [*range(34), 63, 64, 65, 1000]:
+        same = np.arange(1, k + 1) * 257
+        a, b = np.r_[same, same[-1:].max(initial=0) + [1, 3, 9, 10]], np.r_[same, same[-1:].max(initial=0) + [2, 9, 10]]
+        la, lb, ga, gb = alignment.aligned(a, b)
+        assert sorted(zip(la.tolist(), lb.tolist())) == [*((i, i) for i in range(k)), (k, k), (k + 1, k), (k + 1, k + 1), (k + 2, k + 1), (k + 3, k + 2)]
+        assert ga.tolist() == [*range(1, k + 1), k + 3, k + 4] and gb.tolist() == [*range(1, k + 1), k + 2, k + 3]
+        xa, xb = (np.array([(7 * 10 ** (i % 5) + i) % 70000 for i in range(len(x))]) for x in (a, b))
+        groups = zip(np.split(xa, ga[:-1]), np.split(xb, gb[:-1]))
+        assert spelling(xa, xb, ga, gb).decode() == ";".join("|".join(",".join(map(str, x)) for x in g) for g in groups)
+
+
+def test_texts_that_lose_bytes_are_not_spelt():
+    one = alignment.Bytewise.of(A)
+    for text in ("two plain words", "漢字 and more"):
+        ids = one.ids(text)
+        for own, spelt in ((ids, True), (ids[:-1], False), (ids[1:], False)):
+            assert one.spells(text, own, np.array(own), text.encode()) is spelt
+
+
 def brute_joined(rows, width, percent):
     sets = []
     for _, t in rows:
