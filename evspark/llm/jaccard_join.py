@@ -27,10 +27,11 @@ components to the smaller doc_id. An empty table gives no rows. Texts of any len
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evspark.llm.common import named, table, tidy, written
@@ -360,12 +361,42 @@ def by_other_pivot(mixed: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b"))
 
 
+def words_of(n: int) -> int:
+    """Words of the sketches that sets of n shingles travel with: a bit or more for each shingle, 8 words at least."""
+    return next((w for w in (8, 16) if 64 * w >= n), WORDS)
+
+
+def folded(sketch: str, n: str) -> Column:
+    """A sketch folded to words_of(n) words. A folded sketch is the same set's sketch of fewer bits, as each shingle still
+    flips one, so two of them differ in no more bits than the sets in shingles."""
+    out = F.col(sketch)
+    for words in (16, 8):
+        parts = [[F.get(sketch, F.lit(i)) for i in range(k, WORDS, words)] for k in range(words)]
+        out = F.when(F.col(n) <= 64 * words, F.array(*(reduce(Column.bitwiseXOR, x) for x in parts))).otherwise(out)
+    return out
+
+
+def spread(sketches: pa.ListArray) -> np.ndarray:
+    """Folded sketches as rows of WORDS words, those beyond their own 0."""
+    cuts = sketches.offsets.to_numpy().astype(np.int64)
+    flat = sketches.values.to_numpy().view(np.uint64)[cuts[0] : cuts[-1]]
+    sizes = np.diff(cuts)
+    out = np.zeros((len(sizes), WORDS), np.uint64)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(cuts[:-1] - cuts[0], sizes)] = flat
+    return out
+
+
+def refolded(sketches: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+
 def across(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs of rows of different components that share a group and are looked up there, of which one is outside the
     group's main component, as far as their sizes and sketches let them be similar. Rows of a group are compared in numpy,
-    those outside with BLOCK of all at a time; only pairs that pass become rows. Rows of a group of one block travel once."""
+    those outside with BLOCK of all at a time; only pairs that pass become rows. Rows of a group of one block travel once, sketches folded by size; `confirmed` sifts
+    the pairs again by whole ones."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    signed = mixed.join(nodes.select("node", "sketch", "n_shingles"), "node").withColumn("parts", parts)
+    signed = mixed.join(nodes.select("node", folded("sketch", "n_shingles").alias("sketch"), "n_shingles"), "node").withColumn("parts", parts)
     columns = ["hash", "part", "place", "node", "component", "role", "n_shingles", "sketch"]
     outside, one = F.col("component") != F.col("main"), F.col("parts") == 1
     place = F.when(outside & one, BOTH).otherwise(INNER)
@@ -376,10 +407,12 @@ def across(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         group, inner, both = None, [], []
 
         def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
-            return [*(batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)), batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)]
+            return [*(batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)), spread(batch.column(7))]
 
         def passing(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             step = max(1, (1 << 16) // len(y[0]))
+            words = words_of(int(min(x[3].min(), y[3].min())))
+            x, y = [*x[:4], refolded(x[4], words)], [*y[:4], refolded(y[4], words)]
             for at in range(0, len(x[0]), step):
                 names, p, r, n, sk = (c[at : at + step] for c in x)
                 unit = np.maximum.outer(r & 3, y[2] & 3)

@@ -254,3 +254,22 @@ def test_allocations_find_every_similar_pair(percent):
         two = np.flatnonzero(units == 2)
         cut = set(x.full[two]) & set(y.cut) or set(x.cut[np.isin(x.cut_of, two)]) & set(y.full)
         assert whole or cut
+
+
+def test_folded_sketches_lose_no_pair_and_take_less_room(spark):
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (1, 90, 500, 512, 513, 900, 1024, 1025, 3000)]
+    rows = [(k, len(x), jaccard_join.sketch(x).tolist()) for k, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "k int, n long, s array<long>").select("k", jaccard_join.folded("s", "n").alias("f"))
+    got = df.orderBy("k").toArrow()
+    assert [len(x) for x in got.column("f").to_pylist()] == [8, 8, 8, 8, 16, 16, 16, 32, 32]
+    wide = jaccard_join.spread(got.column("f").combine_chunks())
+    whole = np.array([s for _, _, s in rows], np.int64).view(np.uint64)
+    for words in (8, 16, 32):
+        some = [k for k, x in enumerate(sets) if jaccard_join.words_of(len(x)) >= words]
+        assert (jaccard_join.refolded(wide[some], words) == jaccard_join.refolded(whole[some], words)).all()
+    for x in sets:
+        y = np.concatenate([x[len(x) // 20 :], rng.integers(0, 1 << 62, len(x) // 20).astype(np.uint64)])
+        for words in (8, 16, 32):
+            a, b = (jaccard_join.refolded(jaccard_join.sketch(z).view(np.uint64)[None], words) for z in (x, y))
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
