@@ -95,9 +95,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts hold none and stay, whatever their doc_id; texts of any length are searched whole; repeated rows
     are judged each; items that tie count alike; an empty table of documents or of items changes nothing.
     """
-    rows = docs.select(_row(docs), "doc_id", "text")
-    judged = contamination(rows, table(spark, sf_dir, "benchmark"), keep=["_row"])
-    return judged.filter(~F.col("contaminated")).select("_row.*")
+    rows = docs.select("doc_id", "text", F.struct(*(named(c) for c in docs.columns if c != "text")).alias("_row"))
+    judged = contamination(rows, table(spark, sf_dir, "benchmark"), keep=["_row", "text"])
+    return judged.filter(~F.col("contaminated")).select(*(F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.common import named, table, with_made, written
+from evspark.llm.common import named, table, tidy, with_made, written
 from evspark.llm.shingles import PUNCTUATION, blocks, shingle_hashes, word_hashes
 
 #: Windows of one index block; with windows of 10 words, about 200 bytes each.
@@ -68,6 +68,7 @@ def document_frequency(docs: DataFrame, tokens: np.ndarray, width: int, text: st
                 n += np.bincount(at[known[at] == found], minlength=len(known))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(n[some])], ["token", "n"])
+        tidy()
 
     rows = docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {int(tokens[r.token]): r.n for r in rows}
@@ -150,9 +151,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, width: in
     if n_blocks > 1:
         docs, keep = docs.withColumn("_text_hash", F.xxhash64(text)), [*keep, "_text_hash"]
 
+    made = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    sent = list(dict.fromkeys([*keep, text]))  # a text that is kept travels once
+    at = sent.index(text)
+
+    def union_length(kept: list[pa.Array], spans_of: list[list[int]], items_of: list[list[str]]) -> pa.RecordBatch:
+        """`kept` (keep and n_words) with what the spans cover together and the items' digest."""
+        hit, digest, count = [], [], []
+        for spans, own in zip(spans_of, items_of):
+            total, reach = 0, 0
+            for a, b in sorted(zip(spans[::2], spans[1::2])):
+                total += max(0, b - max(a, reach))
+                reach = max(reach, b)
+            hit.append(total)
+            count.append(len(own))
+            digest.append(hashlib.sha256(",".join(own).encode()).hexdigest())
+        return pa.RecordBatch.from_arrays([*kept, pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
     found = None
     names = [*keep, "n_words", "spans", "items"]
-    kinds = with_made(docs, keep, "n_words long, spans array<long>, items array<string>")
+    kinds = with_made(docs, keep, made if n_blocks == 1 else "n_words long, spans array<long>, items array<string>")
     for n in range(n_blocks):
         rows = [(r.item, np.array(r.words, np.int64).view(np.uint64)) for r in blocks_of.filter(F.col("_block") == n).collect()]
         tokens = np.unique(np.concatenate([shingle_hashes(w, width) for _, w in rows])) if rows else np.zeros(0, np.uint64)
@@ -162,35 +180,32 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, width: in
             own = index.value
             for batch in batches:
                 n_words, spans, names_of = np.zeros(len(batch), np.int64), [[] for _ in range(len(batch))], [set() for _ in range(len(batch))]
-                for first, data, cuts in blocks(batch.column(len(keep))):
+                for first, data, cuts in blocks(batch.column(at)):
                     of = word_hashes(data, cuts, PUNCTUATION)[1]
                     n_words[first : first + len(cuts) - 1] = np.bincount(of, minlength=len(cuts) - 1)
                     for i, w, a, b in own.hits(data, cuts):
                         spans[first + i] += [a, b]
                         names_of[first + i].add(own.items[w])
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n_words), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in names_of], pa.list_(pa.string()))], names)
-
-        part = docs.select(*map(named, keep), named(text)).mapInArrow(search, kinds)
+                kept, items_of = [*batch.columns[: len(keep)], pa.array(n_words)], [sorted(x) for x in names_of]
+                if n_blocks == 1:  # no other spans to wait for, so no second worker beside this one
+                    yield union_length(kept, spans, items_of)
+                else:
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, pa.list_(pa.int64())), pa.array(items_of, pa.list_(pa.string()))], names)
+            tidy()
+
+        part = docs.select(*map(named, sent)).mapInArrow(search, kinds)
         found = part if found is None else found.unionByName(part)
     if n_blocks > 1:  # a document's spans of all blocks meet; rows that are equal stay as many as they are
-        joined = found.groupBy(*keep, "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / n_blocks).cast("int").alias("_copies"))
+        joined = found.groupBy(*map(named, keep), "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / n_blocks).cast("int").alias("_copies"))
         found = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies", "_copy")
 
-    def union_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit, digest, count = [], [], []
-            for spans, own in zip(batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep) + 2).to_pylist()):
-                total, reach = 0, 0
-                for a, b in sorted(zip(spans[::2], spans[1::2])):
-                    total += max(0, b - max(a, reach))
-                    reach = max(reach, b)
-                hit.append(total)
-                count.append(len(own))
-                digest.append(hashlib.sha256(",".join(own).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 1], pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    rows = found.mapInArrow(union_length, with_made(docs, keep, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"))
-    return rows.select(*map(named, out), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield union_length(batch.columns[: len(keep) + 1], batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep) + 2).to_pylist())
+            tidy()
+
+        found = found.mapInArrow(measure, with_made(docs, keep, made))
+    return found.select(*map(named, out), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.common import table, written
+from evspark.llm.common import table, tidy, written
 from evspark.llm.components import components
 from evspark.llm.shingles import blocks, mix, shingle_hashes, word_hashes
 
@@ -89,6 +89,7 @@ def signatures(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
                     sketches.append(odd_sketch(found))
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * w), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x, w in ((bands, BANDS), (sketches, WORDS))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *lists], ["id", "class", "n_shingles", "bands", "sketch"])
+        tidy()
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("class"), F.col(text).alias("text"))
     return rows.mapInArrow(sign, "id long, class binary, n_shingles long, bands array<long>, sketch array<long>")
@@ -130,6 +131,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
                 common = len(np.intersect1d(own, other, assume_unique=True))
                 keep.append(100 * common >= percent * (len(own) + len(other) - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+        tidy()
 
     full = near.join(texts.toDF("ca", "ta"), "ca").join(texts.toDF("cb", "tb"), "cb")
     return written(full.select("a", "b", "cb", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
@@ -152,6 +154,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack((x or "").encode()) for x in batch.column(1).to_pylist()], pa.binary())], ["class", "packed"])
+        tidy()
 
     rows = docs.join(wanted, ["id", "class"], "left_semi").select("class", text)
     return rows.mapInArrow(squeeze, "class binary, packed binary").dropDuplicates(["class"])
@@ -263,6 +266,7 @@ def across(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, per
                 np.add.at(n, buckets(full_set(packed.as_py(), width)), 1)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bucket", "n"])
+        tidy()
 
     counted = rows.select("packed").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # RARITY rows at most
     n = np.zeros(RARITY, np.int64)
@@ -288,6 +292,7 @@ def across(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, per
                 columns = [np.concatenate(x) for x in zip(*out)]
                 m = len(columns[0])
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([name] * m, pa.binary()), pa.array([component] * m, pa.int64()), pa.array([outside] * m, pa.bool_()), pa.array([size] * m, pa.int64())], ["larger", "token", "part", "left", "class", "component", "outside", "n"])
+        tidy()
 
     every = written(rows.select("class", "component", "outside", "packed").mapInArrow(prefixes, "larger boolean, token long, part long, left long, class binary, component long, outside boolean, n long"), "prefixes")
     a, b = every.filter("larger").alias("a"), every.filter("NOT larger").alias("b")

@@ -228,6 +228,7 @@ def scores(model: Severity, text: Column) -> Column:
             p[words == 0] = 0
             made = [pa.array(words), pa.array(p[:, 0]), pa.array(p.sum(1)), pa.array((p >= 0.5).sum(1), pa.int32()), pa.array(p[:, 0] >= own.reject_at)]
             yield pa.StructArray.from_arrays(made, ["n_words", "p_toxic", "severity", "grade", "toxic"])
+        tidy()
 
     return score(text)
 
