@@ -18,6 +18,11 @@ expanded into their pairs: in each group all are held against one of their place
 against another one, and what is left are pairs of different components. Sketches, bitmaps in which each shingle flips one bit, differ in no more bits than the
 sets in shingles and sift pairs without loss; full sets confirm them.
 
+Only texts that can have a similar one are indexed. A shingle that no other text has is in one set alone, and a set of n
+has n (100 - p) / 100 of those at most if it is similar to any. They are counted among half of all shingles, those of small
+hashes, so more are never counted than there are: a text that is left out links with nothing. Each chunk of rows sends its
+distinct shingles to places by their hash, once each, and gets a bit back for each of them that another chunk has.
+
 Nodes are the distinct texts, as for near duplicates: null and empty texts, and texts without words, have an empty set and
 link with nothing but by their doc_id; a doc_id with several texts links them; rows without doc_id get the component of
 equal texts, else null. Repeated rows get equal answers. Ties of cost go to the segment of smaller number, those of
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.llm.common import named, table, tidy, written
+from evspark.llm.common import Chunks, named, new_path, table, tidy, written
 from evspark.llm.components import components
 from evspark.llm.near_duplicates import full_set, labelled, links_of_ids, packed_texts
 from evspark.llm.shingles import blocks, mix, shingle_hashes, word_hashes
@@ -117,16 +122,117 @@ def sets_of(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.unique(shingle_hashes(words[a:b], width))
 
 
-def signed_rows(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """id, class (equal for equal texts), n_shingles and sketch of each row."""
+#: A chunk's rows as a file: the set's size, and of its shingles of small hashes the lower 32 of 40 bits and the upper 8.
+SAMPLED = pa.schema([("id", pa.int64()), ("class", pa.binary()), ("n", pa.int64()), ("low", pa.binary()), ("high", pa.binary())])
+
+
+def signed_rows(docs: DataFrame, width: int, key: str, text: str, folder: str, held: int) -> DataFrame:
+    """id, class (equal for equal texts), n_shingles and sketch of each row, with its chunk in the folder and its place there.
+    Chunks hold about `held` shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def chunk() -> pa.RecordBatch:
+            ids, names, sizes, sketches, low, high = zip(*waiting)
+            number = Chunks(folder).write([pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, names, sizes, low, high), SAMPLED)], schema=SAMPLED)], SAMPLED)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * WORDS), pa.array(np.concatenate(sketches)))
+            columns = [pa.array(ids, pa.int64()), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array([number] * len(ids), pa.int64()), pa.array(np.arange(len(ids)))]
+            return pa.RecordBatch.from_arrays(columns, ["id", "class", "n_shingles", "sketch", "chunk", "at"])
+
+        for batch in batches:
+            for i, name, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_of(batch.column(2), width)):
+                some = tokens[: np.searchsorted(tokens, np.uint64(1 << 63))] >> np.uint64(23)
+                waiting.append((i, name, len(tokens), sketch(tokens), some.astype(np.uint32).tobytes(), (some >> np.uint64(32)).astype(np.uint8).tobytes()))
+                size += len(some) + WORDS
+                if size >= held:
+                    yield chunk()
+                    waiting, size = [], 0
+        if waiting:
+            yield chunk()
+        tidy()
+
+    return keyed(docs, key, text).mapInArrow(sign, "id long, class binary, n_shingles long, sketch array<long>, chunk long, at long")
+
+
+def values_of(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32)
+
+
+class Sample:
+    """The shingles of small hashes of some rows of a chunk, each once, by their place."""
+
+    def __init__(self, folder: str, chunk: int, at: list[int], n_places: int):
+        self.rows = Chunks(folder).read(chunk).take(pa.array(sorted(at)))
+        low, high = (self.rows.column(c).to_pylist() for c in ("low", "high"))
+        values, self.of, n = np.unique(values_of(b"".join(low), b"".join(high)), return_inverse=True, return_counts=True)
+        #: The row of each shingle of the rows, and which distinct shingles several rows have.
+        self.row, self.several = np.repeat(np.arange(len(high)), [len(x) for x in high]), n > 1
+        place = (values % np.uint64(n_places)).astype(np.int64)
+        self.order = np.argsort(place, kind="stable")
+        self.values = values[self.order]
+        self.places, starts = np.unique(place[self.order], return_index=True)
+        self.cuts = [*starts.tolist(), len(values)]
+
+
+def live_rows(nodes: DataFrame, folder: str, percent: int, place_rows: int) -> DataFrame:
+    """id, class of those of nodes (chunk, at, n_shingles) that may be similar to another. A written table."""
+    chunks = written(nodes.groupBy("chunk").agg(F.collect_list("at").alias("at"), F.sum("n_shingles").alias("n")), "chunks")
+    n_chunks, total = chunks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_places = max(1, -(-total // (2 * place_rows)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, at in zip(*(c.to_pylist() for c in batch.columns)):
+                own = Sample(folder, chunk, at, n_places)
+                cuts = list(zip(own.cuts[:-1], own.cuts[1:]))
+                packed = [[x[a:b].tobytes() for a, b in cuts] for x in (own.values.astype(np.uint32), (own.values >> np.uint64(32)).astype(np.uint8))]
+                yield pa.RecordBatch.from_arrays([pa.array(own.places), pa.array([chunk] * len(cuts), pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["place", "chunk", "low", "high"])
+        tidy()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, waiting = None, []
+
+        def shared() -> pa.RecordBatch:
+            numbers, values = zip(*waiting)
+            every = np.concatenate(values)
+            order = np.argsort(every, kind="stable")
+            same = every[order][1:] == every[order][:-1]
+            some = np.zeros(len(every), bool)
+            some[order[1:]] |= same
+            some[order[:-1]] |= same
+            ends = np.cumsum([len(x) for x in values]).tolist()
+            bits = [np.packbits(some[a:b]).tobytes() for a, b in zip([0, *ends], ends)]
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([place] * len(bits), pa.int64()), pa.array(bits, pa.binary())], ["chunk", "place", "bits"])
+
         for batch in batches:
-            found = [(len(s), sketch(s)) for s in sets_of(batch.column(2), width)]
-            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * WORDS), pa.array(np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), sketches], ["id", "class", "n_shingles", "sketch"])
+            for p, chunk, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != place and waiting:
+                    yield shared()
+                    waiting = []
+                place = p
+                waiting.append((chunk, values_of(low, high)))
+        if waiting:
+            yield shared()
+        tidy()
+
+    def judge(known: pa.Table) -> pa.Table:
+        rows = {p: (bits, at) for p, bits, at in zip(*(known.column(c).to_pylist() for c in ("place", "bits", "at")))}
+        own = Sample(folder, known.column("chunk")[0].as_py(), rows[-1][1], n_places)
+        some = [np.unpackbits(np.frombuffer(rows[p][0], np.uint8), count=b - a) for p, a, b in zip(own.places.tolist(), own.cuts[:-1], own.cuts[1:])]
+        shared = own.several.copy()
+        shared[own.order] |= np.concatenate([np.zeros(0, np.uint8), *some]).astype(bool)
+        alone = np.bincount(own.row[~shared[own.of]], minlength=own.rows.num_rows)
+        live = own.rows.filter(pa.array(alone <= own.rows.column("n").to_numpy() * (100 - percent) // 100)).select(["id", "class"])
+        del own, some, shared
+        tidy()
+        return live
 
-    return keyed(docs, key, text).mapInArrow(sign, "id long, class binary, n_shingles long, sketch array<long>")
+    asked = chunks.select("chunk", "at").repartition(max(1, n_chunks)).mapInArrow(ask, "place long, chunk long, low binary, high binary")
+    answers = asked.repartition(min(n_places, 4096), "place").sortWithinPartitions("place").mapInArrow(answer, "chunk long, place long, bits binary")
+    known = written(answers, "answers").withColumn("at", F.lit(None).cast("array<long>"))
+    known = known.unionByName(chunks.select("chunk", F.lit(-1).cast("long").alias("place"), F.lit(b"").alias("bits"), "at"))
+    return written(known.repartition(max(1, n_chunks), "chunk").groupBy("chunk").applyInArrow(judge, "id long, class binary"), "live")
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -296,11 +402,14 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     """key, n_shingles and component_id of each row: the components of the links between sets of `width`-word shingles whose
     intersection is at least `percent` hundredths of their union. `together` and `place_rows` tell how work is dealt."""
     spark = docs.sparkSession
-    signed = written(signed_rows(docs, width, key, text), "signed")
+    folder = new_path(spark, "shingles")
+    signed = written(signed_rows(docs, width, key, text, folder, place_rows), "signed")
     roots = signed.groupBy("class").agg(F.min("id").alias("node"), F.count("*").alias("n_rows"))
     first = signed.filter("n_shingles > 0 AND id IS NOT NULL").join(roots.select("class", F.col("node").alias("id")), ["class", "id"])
     nodes = written(first.dropDuplicates(["class"]).withColumnRenamed("id", "node"), "nodes")
-    of_id = signed.filter("n_shingles > 0 AND id IS NOT NULL").select("id", "class").distinct().join(roots.select("class", "node"), "class").select("id", "node")
+    live = live_rows(nodes, folder, percent, place_rows)
+    docs, key_of, text = written(keyed(docs, key, text).join(live, ["id", "class"], "left_semi").select("id", "text"), "texts"), key, "text"
+    key = "id"  # of the row that names its text's node
 
     often = costs(docs, width, percent, key, text)
     n_places = max(1, -(-int(often.sum()) // place_rows))
@@ -315,11 +424,9 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     def confirm(pairs: DataFrame) -> DataFrame:
         return confirmed(pairs.filter("a <> b").distinct(), nodes, docs, width, percent, key, text)
 
-    of_head = of_id.toDF("head", "other")
-    links = confirm(stars.join(of_id, "id").join(of_head, "head").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")))
-    # a text that several tasks met stands once in each group
+    links = confirm(stars.select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")))
     role = F.col("role")
-    rows = written(rows.join(of_id, "id").groupBy("hash", "node").agg(F.max(F.when(role < 4, role)).alias("whole"), F.max(F.when(role >= 4, role)).alias("cut")), "groups")
+    rows = written(rows.withColumnRenamed("id", "node").groupBy("hash", "node").agg(F.max(F.when(role < 4, role)).alias("whole"), F.max(F.when(role >= 4, role)).alias("cut")), "groups")
     several, of_ids = links_of_ids(signed, roots)
     if several is not None:
         links = links.unionByName(of_ids)
@@ -331,7 +438,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
         links = confirm(across(merged(mixed), nodes, percent) if last else by_other_pivot(mixed))
         if not links.isEmpty():
             found = components(links, "a", "b", found=found)
-    return labelled(signed, roots, found, several, key).drop("kept")
+    return labelled(signed, roots, found, several, key_of).drop("kept")
 
 
 def mixed_groups(rows: DataFrame, found: DataFrame | None) -> DataFrame:
