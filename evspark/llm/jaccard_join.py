@@ -21,7 +21,9 @@ sets in shingles and sift pairs without loss; full sets confirm them.
 Only texts that can have a similar one are indexed. A shingle that no other text has is in one set alone, and a set of n
 has n (100 - p) / 100 of those at most if it is similar to any. They are counted among half of all shingles, those of small
 hashes, so more are never counted than there are: a text that is left out links with nothing. Each chunk of rows sends its
-distinct shingles to places by their hash, once each, and gets a bit back for each of them that another chunk has.
+distinct shingles to places by their hash, once each, and gets a bit back for each of them that another chunk has. Texts
+meet the names of those that stay in an exact join, after a broadcast table of bits, in which each name sets one, has dropped
+most others; so the texts that are left out aren't shuffled.
 
 Nodes are the distinct texts, as for near duplicates: null and empty texts, and texts without words, have an empty set and
 link with nothing but by their doc_id; a doc_id with several texts links them; rows without doc_id get the component of
@@ -48,6 +50,8 @@ SKETCH_BITS = 2048
 WORDS = SKETCH_BITS // 64
 #: Buckets of the table of costs, which is broadcast: 4 MB.
 RARITY = 1 << 19
+#: Bits of the table that tells which texts may be indexed, which is broadcast: 4 MB.
+LIVE_BITS = 1 << 25
 #: Of so many segments one has its deletions indexed.
 SPREAD = 16
 #: Index rows of one place that a task sorts, about, and the rows of one hash that stay together, with the most parts of it.
@@ -239,6 +243,23 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(named(key).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(named(text), F.lit("")))).alias("class"), named(text).alias("text"))
 
 
+def named_texts(docs: DataFrame, live: DataFrame) -> DataFrame:
+    """id, text of those rows of docs (id, class, text) that live (id, class) names."""
+    bit = F.pmod(F.xxhash64("id", "class"), F.lit(LIVE_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    found = live.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()  # LIVE_BITS / 64 rows at most
+    bits = np.zeros(-(-LIVE_BITS // 64), np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def may_be(places: pa.Array) -> pa.Array:
+        at = places.to_numpy()
+        return pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return docs.filter(may_be(bit)).join(live, ["id", "class"], "left_semi").select("id", "text")
+
+
 def costs(docs: DataFrame, width: int, percent: int, key: str, text: str) -> np.ndarray:
     """How many index rows fall into each of RARITY buckets, over all rows."""
 
@@ -408,7 +429,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     first = signed.filter("n_shingles > 0 AND id IS NOT NULL").join(roots.select("class", F.col("node").alias("id")), ["class", "id"])
     nodes = written(first.dropDuplicates(["class"]).withColumnRenamed("id", "node"), "nodes")
     live = live_rows(nodes, folder, percent, place_rows)
-    docs, key_of, text = written(keyed(docs, key, text).join(live, ["id", "class"], "left_semi").select("id", "text"), "texts"), key, "text"
+    docs, key_of, text = written(named_texts(keyed(docs, key, text), live), "texts"), key, "text"
     key = "id"  # of the row that names its text's node
 
     often = costs(docs, width, percent, key, text)

@@ -65,3 +65,45 @@ def test_null_ids_and_copies_only(spark):
     rows = [(None, text), (4, text), (4, text), (9, text), (None, "alone " + text[:20]), (2, None), (3, "")]
     got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("s", F.col("n_shingles"))
     assert sorted(((r.doc_id, r.s, r.component_id) for r in got.collect()), key=str) == sorted([(None, 46, 4), (4, 46, 4), (4, 46, 4), (9, 46, 4), (None, 4, None), (2, 0, 2), (3, 0, 3)], key=str)
+
+
+def lone_and_near(n: int) -> list[tuple[int, str]]:
+    """n texts alone, of long words that don't compress, and some near ones."""
+    rng = random.Random(n)
+    rows = [[f"{rng.getrandbits(480):x}" for _ in range(30)] for _ in range(n)]
+    rows += [[*rows[k], "more"] for k in range(0, n, 40)]
+    return [(k, " ".join(x)) for k, x in enumerate(rows)]
+
+
+def shuffled(spark) -> int:
+    """Bytes that tasks have written for exchanges so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    every = context.statusStore().executorList(False)
+    return sum(every.apply(k).totalShuffleWrite() for k in range(every.size()))
+
+
+def test_texts_left_out_are_not_shuffled(spark, tmp_path):
+    rows = lone_and_near(1500)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the names of texts are many
+    try:
+        before = shuffled(spark)
+        got = jaccard_join.jaccard_join(spark.read.parquet(f"{tmp_path}/documents"), 5, PERCENT).collect()
+        assert shuffled(spark) - before < sum(len(t) for _, t in rows) // 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    component = {i: 40 * (i - 1500) if i >= 1500 else i for i, _ in rows}
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(component.items())
+
+
+@pytest.mark.parametrize("bits", [1, 64, 1 << 10])
+def test_texts_that_share_a_bit_are_told_apart(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard_join, "LIVE_BITS", bits)
+    docs = spark.createDataFrame([(k if k % 7 else None, f"text {k}") for k in range(400)], "id long, text string").selectExpr("id", "unhex(md5(text)) AS class", "text")
+    docs = docs.unionByName(docs.selectExpr("id + 1 AS id", "class", "text"))
+    live = docs.filter("id % 5 = 0").select("id", "class").repartition(3)
+    want = sorted((r.id, r.text) for r in docs.filter("id % 5 = 0").collect())
+    assert sorted(map(tuple, jaccard_join.named_texts(docs, live).collect())) == want
+    assert jaccard_join.named_texts(docs, live.filter("id < 0")).collect() == []
