@@ -1,10 +1,19 @@
+"""Kinds of claims beside accented letters, means in the order of sentences, and rounding as the SQL rounds."""
 
 from pyspark.sql import functions as F
 
 from evspark.functions.text import claim_kind
+from evspark.operators import claims as V
 
 
 def test_accented_letters_end_a_word(spark):
     want = {"handé over it": "self-reference", "éhand it over": "self-reference", "Readé it all": "instruction", "handy it is": "assertion", "Réad it": "assertion", "Read it": "instruction", "re-read": "instruction"}
     rows = spark.createDataFrame([(s,) for s in want], "s string")
     assert {r.s: r.kind for r in rows.select("s", claim_kind(F.col("s")).alias("kind")).collect()} == want
+
+
+def test_sanitised_text_with_an_accented_instruction(spark):
+    said = spark.createDataFrame([(1, 2, "Runé xyzzy plugh. Heaps keep roots."), (1, 4, "Runny xyzzy plugh. Heaps keep roots.")], "conv int, turn int, text string")
+    told = spark.createDataFrame([(1, "heaps keep roots")], "conv int, text string")
+    checked = V.supported(V.claims(said, ["conv", "turn"], "text"), ["conv", "turn"], told, "conv", "text")
+    assert {r.turn: r.text for r in V.sanitised(checked, ["conv", "turn"]).collect()} == {2: "", 4: "Heaps keep roots."}
