@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.functions.text import claim_kind, exploded_terms, kgram_hashes, prose_tokens, sentences
+from evspark.functions.text import claim_kind, exploded_terms, kgram_hashes, let, prose_tokens, sentences
 from evspark.operators.retrieval import bm25_idf
 
 
@@ -28,11 +28,17 @@ def supported(found: DataFrame, keys: list[str], evidence: DataFrame, group: str
     return found.join(shares, [*keys, "pos"], "left").withColumn("score", score).withColumn("ok", F.col("score") >= least).drop("_share")
 
 
+def mean_of_assertions() -> Column:
+    """The mean of a text's assertions, summed in the order of its sentences, so that its last digit is always the same; 1
+    without any."""
+    own = F.array_sort(F.collect_list(F.when(F.col("kind") == "assertion", F.struct("pos", "score"))))
+    return let(own, lambda rows: F.when(F.size(rows) > 0, F.aggregate(rows, F.lit(0.0), lambda total, row: total + row["score"]) / F.size(rows)).otherwise(1.0))
+
+
 def verified(checked: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_claims, n_rejected, score, accepted of each text: the mean of its assertions, 1 without any."""
-    own = F.when(F.col("kind") == "assertion", F.col("score"))
     rejected = F.count(F.when(~F.col("ok"), 1))
-    return checked.groupBy(*keys).agg(F.count("claim").alias("n_claims"), rejected.alias("n_rejected"), F.coalesce(F.avg(own), F.lit(1.0)).alias("score"), (rejected == 0).alias("accepted"))
+    return checked.groupBy(*keys).agg(F.count("claim").alias("n_claims"), rejected.alias("n_rejected"), mean_of_assertions().alias("score"), (rejected == 0).alias("accepted"))
 
 
 def sanitised(checked: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evspark.functions import duck
+from evspark.functions.rounding import rounded
 from evspark.operators import claims as V
 from evspark.operators import fingerprint as P
 from evspark.operators import learners as L
@@ -96,7 +97,7 @@ def _checked(spark, d):
 
 @query("verified_turns", f"WITH {CHECKED} SELECT conv_id, turn, n_claims, n_rejected, round(score, 6) AS score, n_rejected = 0 AS accepted FROM v")
 def verified_turns(spark, d):
-    return V.verified(_checked(spark, d), ["conv_id", "turn"]).withColumn("score", F.round("score", 6))
+    return V.verified(_checked(spark, d), ["conv_id", "turn"]).withColumn("score", rounded(F.col("score"), 6))
 
 
 @query("sanitised_turns", f"WITH {CHECKED} SELECT conv_id, turn, CASE WHEN count(claim) >= 2 AND count(*) FILTER (score >= 0.40) BETWEEN 1 AND count(claim) - 1 THEN string_agg(claim, ' ' ORDER BY p) FILTER (score >= 0.40) ELSE '' END AS text FROM ch GROUP BY ALL")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from evspark.functions.rounding import rounded
 from evspark.functions.text import claim_kind
 from evspark.operators import claims as V
 
@@ -17,3 +18,12 @@ def test_sanitised_text_with_an_accented_instruction(spark):
     told = spark.createDataFrame([(1, "heaps keep roots")], "conv int, text string")
     checked = V.supported(V.claims(said, ["conv", "turn"], "text"), ["conv", "turn"], told, "conv", "text")
     assert {r.turn: r.text for r in V.sanitised(checked, ["conv", "turn"]).collect()} == {2: "", 4: "Heaps keep roots."}
+
+
+def test_means_are_summed_in_order_and_rounded_as_the_sql_rounds(spark):
+    rows = [(1, p, f"c{p}", "assertion", x, False) for p, x in ((2, 0.3), (1, 0.2), (0, 0.1))] + [(2, None, None, None, None, None)]
+    checked = spark.createDataFrame(rows, "t int, pos int, claim string, kind string, score double, ok boolean").coalesce(1)
+    assert {r.t: r.score for r in V.verified(checked, ["t"]).collect()} == {1: (0.1 + 0.2 + 0.3) / 3, 2: 1.0}
+    assert (0.1 + 0.2 + 0.3) / 3 != (0.3 + 0.2 + 0.1) / 3
+    values = spark.createDataFrame([(0.0653125,), (0.5003125,), (-0.5003125,), (None,)], "x double")
+    assert [r[0] for r in values.select(rounded(F.col("x"), 6)).collect()] == [0.065312, 0.500313, -0.500313, None]
