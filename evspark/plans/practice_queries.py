@@ -108,7 +108,7 @@ def sanitised_turns(spark, d):
 @query("verified_conversations", f"WITH {CHECKED} SELECT conv_id, round(min(score), 6) AS least_score, count(*) AS n_turns, count(*) FILTER (n_rejected = 0) AS n_accepted FROM v GROUP BY 1")
 def verified_conversations(spark, d):
     turns = V.verified(_checked(spark, d), ["conv_id", "turn"])
-    return turns.groupBy("conv_id").agg(F.round(F.min("score"), 6).alias("least_score"), F.count("*").alias("n_turns"), F.count(F.when(F.col("accepted"), 1)).alias("n_accepted"))
+    return turns.groupBy("conv_id").agg(rounded(F.min("score"), 6).alias("least_score"), F.count("*").alias("n_turns"), F.count(F.when(F.col("accepted"), 1)).alias("n_accepted"))
 
 
 @query("ladder_fingerprint", f"SELECT item_id, CAST(k AS INTEGER) AS k, CAST(p - 1 AS INTEGER) AS pos, g[p] AS hash FROM (SELECT item_id, k, g, unnest(range(1, len(g) + 1)) AS p FROM (SELECT item_id, CASE WHEN len(t) < 7 THEN 3 ELSE 5 END AS k, CASE WHEN len(t) < 7 THEN {duck.grams('t', 3)} ELSE {duck.grams('t', 5)} END AS g FROM (SELECT item_id, {duck.tokens('text', False)} AS t FROM benchmark)))")

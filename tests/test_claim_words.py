@@ -1,10 +1,12 @@
 """Kinds of claims beside accented letters, means in the order of sentences, and rounding as the SQL rounds."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from evspark.functions.rounding import rounded
 from evspark.functions.text import claim_kind
 from evspark.operators import claims as V
+from evspark.plans import registry
 
 
 def test_accented_letters_end_a_word(spark):
@@ -27,3 +29,16 @@ def test_means_are_summed_in_order_and_rounded_as_the_sql_rounds(spark):
     assert (0.1 + 0.2 + 0.3) / 3 != (0.3 + 0.2 + 0.1) / 3
     values = spark.createDataFrame([(0.0653125,), (0.5003125,), (-0.5003125,), (None,)], "x double")
     assert [r[0] for r in values.select(rounded(F.col("x"), 6)).collect()] == [0.065312, 0.500313, -0.500313, None]
+
+
+def test_verified_conversations_at_a_tie(spark, tmp_path):
+    """Two claims with 23 of 25 and 1 of 8 tokens known and 14 without any: a mean of 0.0653125, which DuckDB rounds down."""
+    words = [f"k{i}a" for i in range(200)]
+    claims = ["Aa " + " ".join(words[:22] + ["zza", "zzo"]), "Bb " + " ".join(words[30:37])] + ["Cc " + " ".join(words[40:43])] * 14
+    turns = [(1, 0, "user", " ".join(["aa", "bb", *words[:22]])), (1, 1, "assistant", ". ".join(claims))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("verified_conversations", "verified_turns"):
+        want = connection.execute(registry.ORACLE_SQL[name]).fetchall()
+        assert [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()] == want and 0.065312 in want[0]
