@@ -110,7 +110,6 @@ def sentence_leaks(found: DataFrame, keys: list[str], cards: DataFrame, told: Da
 def reviewed(checked: DataFrame, keys: list[str], leaks: DataFrame, most: float = 0.18) -> DataFrame:
     """keys, n_claims, n_unsupported, score (mean of the assertions, 1 without any), leak (the largest of a claim, 0 without
     any), accepted: nothing unsupported and no leak above `most`."""
-    own = F.when(F.col("kind") == "assertion", F.col("score"))
     rows = checked.join(leaks, [*keys, "pos"], "left").groupBy(*keys)
-    counts = rows.agg(F.count("claim").alias("n_claims"), F.count(F.when(~F.col("ok"), 1)).alias("n_unsupported"), F.coalesce(F.avg(own), F.lit(1.0)).alias("score"), F.coalesce(F.max("leak"), F.lit(0.0)).alias("leak"))
+    counts = rows.agg(F.count("claim").alias("n_claims"), F.count(F.when(~F.col("ok"), 1)).alias("n_unsupported"), mean_of_assertions().alias("score"), F.coalesce(F.max("leak"), F.lit(0.0)).alias("leak"))
     return counts.withColumn("accepted", (F.col("n_unsupported") == 0) & (F.col("leak") <= most))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evspark.functions import duck
+from evspark.functions.rounding import rounded
 from evspark.operators import claims as V
 from evspark.operators.retrieval import postings
 from evspark.plans.practice_queries import CHECKED
@@ -55,10 +56,10 @@ def _reviewed(spark, d):
 @query("reviewed_turns", f"WITH {REVIEWED} SELECT conv_id, turn, n_claims, n_unsupported, round(score, 6) AS score, round(leak, 6) AS leak, accepted FROM rv")
 def reviewed_turns(spark, d):
     """Each answer: its assertions' support by the user's turns among the 12 before it, and what it tells of the benchmark."""
-    return _reviewed(spark, d).withColumns({"score": F.round("score", 6), "leak": F.round("leak", 6)})
+    return _reviewed(spark, d).withColumns({"score": rounded(F.col("score"), 6), "leak": rounded(F.col("leak"), 6)})
 
 
 @query("reviewed_conversations", f"WITH {REVIEWED} SELECT conv_id, round(max(leak), 6) AS most_leak, round(min(score), 6) AS least_score, count(*) FILTER (accepted) AS n_kept, count(*) FILTER (NOT accepted) AS n_dropped FROM rv GROUP BY conv_id")
 def reviewed_conversations(spark, d):
     kept, dropped = F.count(F.when(F.col("accepted"), 1)).alias("n_kept"), F.count(F.when(~F.col("accepted"), 1)).alias("n_dropped")
-    return _reviewed(spark, d).groupBy("conv_id").agg(F.round(F.max("leak"), 6).alias("most_leak"), F.round(F.min("score"), 6).alias("least_score"), kept, dropped)
+    return _reviewed(spark, d).groupBy("conv_id").agg(rounded(F.max("leak"), 6).alias("most_leak"), rounded(F.min("score"), 6).alias("least_score"), kept, dropped)

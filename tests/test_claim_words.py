@@ -42,3 +42,10 @@ def test_verified_conversations_at_a_tie(spark, tmp_path):
     for name in ("verified_conversations", "verified_turns"):
         want = connection.execute(registry.ORACLE_SQL[name]).fetchall()
         assert [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()] == want and 0.065312 in want[0]
+
+
+def test_reviewed_means_are_summed_in_order(spark):
+    rows = [(1, p, f"c{p}", "assertion", x, False) for p, x in ((2, 0.3), (1, 0.2), (0, 0.1))]
+    checked = spark.createDataFrame(rows, "t int, pos int, claim string, kind string, score double, ok boolean").coalesce(1)
+    leaks = spark.createDataFrame([], "t int, pos int, leak double")
+    assert [r.score for r in V.reviewed(checked, ["t"], leaks).collect()] == [(0.1 + 0.2 + 0.3) / 3]
