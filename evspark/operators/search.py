@@ -28,7 +28,7 @@ def by_concepts(wanted: DataFrame, index: DataFrame, pool: int) -> DataFrame:
 def expanded_terms(queries: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """query, term of the distinct terms of each query, and of the vocabulary's terms most like those that it lacks."""
     own = stored(exploded_terms(queries.select(F.col(key).alias("query"), F.col(text).alias("text")), "text").distinct(), "terms")
-    return own.unionByName(expanded(own, vocabulary).select("query", F.col("candidate").alias("term"))).distinct()
+    return stored(own.unionByName(expanded(own, vocabulary).select("query", F.col("candidate").alias("term"))).distinct(), "terms")
 
 
 def searched(terms: DataFrame, wanted: DataFrame, index: DataFrame, n_docs: DataFrame, concepts: DataFrame, pool: int = 24, k: int = 12, others: tuple = ()) -> DataFrame:
