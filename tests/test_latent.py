@@ -1,5 +1,7 @@
 """Latent projection, nearest vectors and diverse picks against numpy on small inputs."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -77,3 +79,33 @@ def test_cosines(spark):
     for r in S.cosines(pairs, queries, docs).collect():
         expected = float(unit(a)[r.query] @ unit(b)[r.doc]) if r.query < 4 and r.doc < 5 else 0.0
         assert r.cosine == pytest.approx(expected, abs=1e-9)
+
+
+def test_few_columns_at_a_time_and_small_pieces_change_nothing(spark, docs, monkeypatch):
+    from evspark.operators import blocks as B
+
+    whole = S.latent(docs, "doc_id", "text", components=3, more=5)
+    monkeypatch.setattr(S, "SENT", 0)
+    monkeypatch.setattr(B, "PIECE", 2)
+    monkeypatch.setattr(B, "CHARS", 10)
+    index = postings(docs, "doc_id", "text")
+    few = S.latent(docs, "doc_id", "text", components=3, more=5, index=index)
+    assert few.singular == pytest.approx(whole.singular, abs=1e-9)
+    a, b = (m.docs.toPandas().sort_values("doc").drop(columns="doc").to_numpy(float) for m in (whole, few))
+    assert a @ a.T == pytest.approx(b @ b.T, abs=1e-9)
+    a, b = (m.terms.toPandas().sort_values("term") for m in (whole, few))
+    assert list(a.term) == list(b.term)
+    a, b = (x.drop(columns="term").to_numpy(float) for x in (a, b))
+    assert a @ a.T == pytest.approx(b @ b.T, abs=1e-9)
+
+
+def test_tables_of_former_steps_go(spark):
+    from evspark.sources.stored import shared_dir
+
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(x)}q" for x in rng.zipf(1.3, 60) % 3000)) for i in range(400)]
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    was = set(folder.iterdir()) if folder.exists() else set()
+    model = S.latent(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text")
+    new = [d.name.rsplit("-", 1)[0] for d in set(folder.iterdir()) - was]
+    assert new.count("subspace") == 1 and "weights" not in new and len(model.singular) == 24
