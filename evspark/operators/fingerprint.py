@@ -45,10 +45,14 @@ def contained(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def novelty(candidates: DataFrame, reference: DataFrame, own: DataFrame) -> DataFrame:
-    """id, ref, self, score = ref * (1 - self): the shares of a candidate's distinct hashes that reference and own have (all: id, hash)."""
-    rows = candidates.select("id", "hash").distinct()
-    in_reference = reference.select("hash").distinct().withColumn("r", F.lit(1))
-    in_own = own.select("hash").distinct().withColumn("o", F.lit(1))
-    joined = rows.join(in_reference, "hash", "left").join(in_own, "hash", "left")
-    shares = joined.groupBy("id").agg((F.count("r") / F.count("*")).alias("ref"), (F.count("o") / F.count("*")).alias("self"))
+    """id, ref, self, score = ref * (1 - self): the shares of a candidate's distinct hashes that reference and own have (all: id, hash).
+
+    What is known of a hash is one row, which candidates' rows meet by hash; there they are made distinct too, so that they
+    are dealt out once.
+    """
+    none = F.lit(None).cast("int")
+    known = reference.select("hash", F.lit(1).alias("r"), none.alias("o")).unionByName(own.select("hash", none.alias("r"), F.lit(1).alias("o")))
+    known = known.groupBy("hash").agg(F.max("r").alias("r"), F.max("o").alias("o"))
+    rows = candidates.select("id", "hash").join(known, "hash", "left").groupBy("id", "hash").agg(F.max("r").alias("r"), F.max("o").alias("o"))
+    shares = rows.groupBy("id").agg((F.count("r") / F.count("*")).alias("ref"), (F.count("o") / F.count("*")).alias("self"))
     return shares.withColumn("score", F.col("ref") * (1 - F.col("self")))

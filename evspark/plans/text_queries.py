@@ -149,9 +149,12 @@ def contamination_containment(spark, d):
 s AS (SELECT c.id, CAST(count(r.hash) AS DOUBLE) / count(*) AS ref, CAST(count(l.hash) AS DOUBLE) / count(*) AS own FROM c LEFT JOIN r USING (hash) LEFT JOIN l USING (hash) GROUP BY c.id)
 SELECT id AS doc_id, round(ref, 6) AS ref, round(own, 6) AS self, round(ref * (1 - own), 6) AS score, ref * (1 - own) > 0.18 AS rejected FROM s""")
 def novelty_gate(spark, d):
-    docs = P.fingerprints(table(spark, d, "documents"), "doc_id", "text")
-    own = docs.join(table(spark, d, "labels").filter("quality = 0").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    scored = P.novelty(docs, P.fingerprints(table(spark, d, "benchmark"), "item_id", "text"), own)
+    def prints(rows, key):
+        return P.fingerprints(rows, key, "text").select("id", F.unhex("hash").alias("hash"))  # 16 bytes rather than 32 digits
+
+    docs = table(spark, d, "documents")
+    own = docs.join(table(spark, d, "labels").filter("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    scored = P.novelty(prints(docs, "doc_id"), prints(table(spark, d, "benchmark"), "item_id"), prints(own, "doc_id"))
     return scored.select(F.col("id").alias("doc_id"), F.round("ref", 6).alias("ref"), F.round("self", 6).alias("self"), F.round("score", 6).alias("score"), (F.col("score") > 0.18).alias("rejected"))
 
 
